@@ -1,0 +1,91 @@
+"""Queries of the training-data problems, and SQL where SQL can express them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftline.llm.mixture import mix_sources, mixture_report
+from siftline.llm.pii import given_names, mask_pii, pii_findings
+from siftline.llm.splitting import split_oversized, word_count
+from siftline.llm.tokenize import encode_corpus
+from siftline.sources.shared import materialize
+from siftline.sources.tables import table
+
+
+def _valid_files(spark: SparkSession, d: str) -> DataFrame:
+    """The valid row of each file: highest version, then latest update."""
+    return table(spark, d, "source_document").where(F.col("id").isNotNull()).groupBy(F.col("id").alias("document_id")).agg(F.max_by(F.struct("chunk_size", "chunk_overlap"), F.struct("version", "updated_at", "chunk_size")).alias("p")).select("document_id", "p.*")
+
+
+def _oversized(spark: SparkSession, d: str) -> DataFrame:
+    files = _valid_files(spark, d)
+    least = files.agg(F.min("chunk_size").alias("least"))  # one row: texts no file calls oversized stay out of the join
+    chunks = table(spark, d, "chunk").select("id", "document_id", "text").withColumn("n", word_count(F.col("text"))).join(F.broadcast(least), F.col("n") > F.col("least")).select("id", "document_id", "text")
+    return chunks.join(files, "document_id").dropDuplicates(["id"])
+
+
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split_oversized(_oversized(spark, d)).where(F.col("boundary") != "whole")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_pieces(spark, d).where(F.col("piece") == 1).select("id")
+
+
+def _texts_with_pii(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunk").select(F.lit("chunk").alias("record_kind"), F.col("id"), "text")
+    questions = table(spark, d, "eval_question").select(F.lit("eval_question").alias("record_kind"), F.col("id").cast("string").alias("id"), F.col("question").alias("text"))
+    return chunks.unionByName(questions)
+
+
+def _given(spark: SparkSession, d: str) -> list[str]:
+    return given_names(table(spark, d, "extracted_entity").where(F.upper(F.trim("type")) == "PERSON"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    texts = _texts_with_pii(spark, d).select(F.concat_ws("\t", "record_kind", "id").alias("key"), "text")
+    found = pii_findings(texts, _given(spark, d), id="key")
+    parts = F.split("record_id", "\t", 2)
+    return found.select(parts[0].alias("record_kind"), parts[1].alias("record_id"), "start_offset", "end_offset", "type")
+
+
+def p6_masked(spark: SparkSession, d: str) -> DataFrame:
+    return mask_pii(_texts_with_pii(spark, d), _given(spark, d), key=b"siftline").select("record_kind", "id", "masked", "pseudonymous")
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_corpus(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
+
+
+def _document_sizes(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    return encode_corpus(docs, out="n_tokens", count_only=True).select("doc_id", "source", "n_tokens")
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixture_report(_document_sizes(spark, d), table(spark, d, "mix_target"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_report(spark, d).where(~F.col("reachable")).select("source")
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix_sources(materialize(_document_sizes(spark, d), "sizes"), table(spark, d, "mix_target"))
+
+
+def queries() -> dict:
+    return {f.__name__: f for f in (p5_found, p5_pieces, p6_found, p6_masked, p7_ids, p8_found, p8_report, p8_mix)}
+
+
+WORDS = r"len(regexp_extract_all(coalesce(c.text, ''), '[^ \t\r\n]+'))"
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p5_found": f"""
+            select distinct c.id from chunk c
+            join (select id, arg_max(chunk_size, version) as chunk_size from source_document group by id) f on f.id = c.document_id
+            where {WORDS} > f.chunk_size""",
+    }
