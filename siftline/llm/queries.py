@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm.mixture import mix_sources, mixture_report
+from siftline.llm.names import learn_common, link_names, name_pairs
 from siftline.llm.pii import given_names, mask_pii, pii_findings
 from siftline.llm.splitting import split_oversized, word_count
 from siftline.llm.tokenize import encode_corpus
@@ -18,6 +19,18 @@ def _valid_files(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "source_document").where(F.col("id").isNotNull()).groupBy(F.col("id").alias("document_id")).agg(F.max_by(F.struct("chunk_size", "chunk_overlap"), F.struct("version", "updated_at", "chunk_size")).alias("p")).select("document_id", "p.*")
 
 
+def p4_entities(spark: SparkSession, d: str) -> DataFrame:
+    vertices = table(spark, d, "vertex").select("id", "name", "type", "description")
+    mentions = table(spark, d, "extracted_entity").select("name", "type")
+    known = vertices.select("name", "type").unionByName(mentions).select(F.trim("name").alias("name"), F.upper(F.trim("type")).alias("type")).distinct()
+    common = learn_common(known.where(F.col("type").isin("ORGANIZATION", "LOCATION", "PRODUCT")).select("name", F.lit(False).alias("person")), least=5)
+    return link_names(vertices.where(F.col("id").isNotNull()), given_names(known.where(F.col("type") == "PERSON")), common)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return name_pairs(p4_entities(spark, d))
+
+
 def _oversized(spark: SparkSession, d: str) -> DataFrame:
     files = _valid_files(spark, d)
     least = files.agg(F.min("chunk_size").alias("least"))  # one row: texts no file calls oversized stay out of the join
@@ -76,7 +89,7 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p5_found, p5_pieces, p6_found, p6_masked, p7_ids, p8_found, p8_report, p8_mix)}
+    return {f.__name__: f for f in (p4_found, p4_entities, p5_found, p5_pieces, p6_found, p6_masked, p7_ids, p8_found, p8_report, p8_mix)}
 
 
 WORDS = r"len(regexp_extract_all(coalesce(c.text, ''), '[^ \t\r\n]+'))"
