@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm.mixture import mix_sources, mixture_report
 from siftline.llm.names import learn_common, link_names, name_pairs
+from siftline.llm.near_duplicates import duplicate_fields, near_duplicate_links, near_duplicate_pairs
 from siftline.llm.pii import given_names, mask_pii, pii_findings
 from siftline.llm.splitting import split_oversized, word_count
 from siftline.llm.tokenize import encode_corpus
@@ -19,6 +20,14 @@ def _valid_files(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "source_document").where(F.col("id").isNotNull()).groupBy(F.col("id").alias("document_id")).agg(F.max_by(F.struct("chunk_size", "chunk_overlap"), F.struct("version", "updated_at", "chunk_size")).alias("p")).select("document_id", "p.*")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicate_pairs(*near_duplicate_links(table(spark, d, "chunk").select("id", "text")))
+
+
+def p2_fields(spark: SparkSession, d: str) -> DataFrame:
+    return duplicate_fields(*near_duplicate_links(table(spark, d, "chunk").select("id", "text")))
+
+
 def p4_entities(spark: SparkSession, d: str) -> DataFrame:
     vertices = table(spark, d, "vertex").select("id", "name", "type", "description")
     mentions = table(spark, d, "extracted_entity").select("name", "type")
@@ -89,7 +98,7 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p4_entities, p5_found, p5_pieces, p6_found, p6_masked, p7_ids, p8_found, p8_report, p8_mix)}
+    return {f.__name__: f for f in (p2_found, p2_fields, p4_found, p4_entities, p5_found, p5_pieces, p6_found, p6_masked, p7_ids, p8_found, p8_report, p8_mix)}
 
 
 WORDS = r"len(regexp_extract_all(coalesce(c.text, ''), '[^ \t\r\n]+'))"
