@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.llm.knn import k_nearest
 from siftline.llm.mixture import mix_sources, mixture_report
 from siftline.llm.names import learn_common, link_names, name_pairs
 from siftline.llm.near_duplicates import duplicate_fields, near_duplicate_links, near_duplicate_pairs
@@ -20,6 +21,16 @@ def _valid_files(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "source_document").where(F.col("id").isNotNull()).groupBy(F.col("id").alias("document_id")).agg(F.max_by(F.struct("chunk_size", "chunk_overlap"), F.struct("version", "updated_at", "chunk_size")).alias("p")).select("document_id", "p.*")
 
 
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "chunk_vector").where(F.col("model") == "minihash-96-v2").select("chunk_id", "embedding")
+    return k_nearest(vectors, id="chunk_id", dim=96, k=10, min_similarity=0.75)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    near = p1_neighbours(spark, d)
+    return near.select(F.least("id", "neighbour_id").alias("id_a"), F.greatest("id", "neighbour_id").alias("id_b")).distinct()
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_pairs(*near_duplicate_links(table(spark, d, "chunk").select("id", "text")))
 
@@ -98,7 +109,7 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_fields, p4_found, p4_entities, p5_found, p5_pieces, p6_found, p6_masked, p7_ids, p8_found, p8_report, p8_mix)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_fields, p4_found, p4_entities, p5_found, p5_pieces, p6_found, p6_masked, p7_ids, p8_found, p8_report, p8_mix)}
 
 
 WORDS = r"len(regexp_extract_all(coalesce(c.text, ''), '[^ \t\r\n]+'))"
