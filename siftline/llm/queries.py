@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.llm.clustering import cluster_vectors, describe_clusters, number_clusters, text_vectors
+from siftline.llm.components import pairs_of_groups
 from siftline.llm.knn import k_nearest
 from siftline.llm.mixture import mix_sources, mixture_report
 from siftline.llm.names import learn_common, link_names, name_pairs
@@ -39,6 +41,23 @@ def p2_fields(spark: SparkSession, d: str) -> DataFrame:
     return duplicate_fields(*near_duplicate_links(table(spark, d, "chunk").select("id", "text")))
 
 
+def _clusters(spark: SparkSession, d: str) -> DataFrame:
+    return cluster_vectors(text_vectors(table(spark, d, "chunk"), "id", "text"), least_share=0.005)
+
+
+def p3_assignment(spark: SparkSession, d: str) -> DataFrame:
+    return number_clusters(_clusters(spark, d)).select("id", "cluster_id")
+
+
+def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return describe_clusters(materialize(_clusters(spark, d), "assigned"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    probe = table(spark, d, "cluster_probe").select("batch", F.col("chunk_id").alias("id")).distinct()
+    return pairs_of_groups(probe.join(_clusters(spark, d), "id"), ["batch", "cluster"], "id").select("batch", "id_a", "id_b")
+
+
 def p4_entities(spark: SparkSession, d: str) -> DataFrame:
     vertices = table(spark, d, "vertex").select("id", "name", "type", "description")
     mentions = table(spark, d, "extracted_entity").select("name", "type")
@@ -109,7 +128,7 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_fields, p4_found, p4_entities, p5_found, p5_pieces, p6_found, p6_masked, p7_ids, p8_found, p8_report, p8_mix)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_fields, p3_found, p3_assignment, p3_clusters, p4_found, p4_entities, p5_found, p5_pieces, p6_found, p6_masked, p7_ids, p8_found, p8_report, p8_mix)}
 
 
 WORDS = r"len(regexp_extract_all(coalesce(c.text, ''), '[^ \t\r\n]+'))"
