@@ -16,13 +16,13 @@ queries visit every block.
 Defined results: a vector is usable if it has ``dim`` finite values, not all zero;
 length does not matter. Of ties at the k-th place the lower id comes first. Equal
 replayed rows count once; an id with several usable vectors keeps the one packed
-least. Similarities are those of directions packed in 16 bits a component, exact
-to 1e-4.
+least. Similarities are those of directions packed in 12 bits a component, exact
+to about 1e-4.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,12 +32,37 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from siftline.llm.near_duplicates import _arrow, _binary, _matrix
+from siftline.sources.shared import materialize
 
-SCALE = 32767.0
+STEPS = 2047  # 12 bits a component
+
+
+def packed_width(dim: int) -> int:
+    return -(-dim // 2) * 3
+
+
+def pack_rows(x: np.ndarray) -> np.ndarray:
+    """Rows as 12-bit fractions of their largest component, two to three bytes; equal directions pack equally."""
+    top = np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-30)
+    q = (np.rint(x / top * STEPS) + 2048).astype(np.uint16)
+    if q.shape[1] % 2:
+        q = np.hstack([q, np.full((len(q), 1), 2048, np.uint16)])
+    a, b = q[:, 0::2], q[:, 1::2]
+    return np.stack([a >> 4, ((a & 15) << 4) | (b >> 8), b & 255], axis=2).astype(np.uint8).reshape(len(x), -1)
+
+
+def unpack_rows(m: np.ndarray, dim: int) -> np.ndarray:
+    """Unit rows of what ``pack_rows`` made."""
+    t = m.reshape(len(m), -1, 3).astype(np.int16)
+    x = np.empty((len(m), t.shape[1] * 2), np.float32)
+    x[:, 0::2] = ((t[:, :, 0] << 4) | (t[:, :, 1] >> 4)) - 2048
+    x[:, 1::2] = (((t[:, :, 1] & 15) << 8) | t[:, :, 2]) - 2048
+    x = x[:, :dim]
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
 
 
 def pack_directions(df: DataFrame, id: str, vector: str, dim: int) -> DataFrame:
-    """(id, v): 16-bit directions of the usable vectors."""
+    """(id, v): packed directions of the usable vectors."""
 
     def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -49,19 +74,12 @@ def pack_directions(df: DataFrame, id: str, vector: str, dim: int) -> DataFrame:
             x[~ok] = 0
             top = np.abs(x).max(axis=1)
             ok &= top > 0
-            x = x[ok] / top[ok, None]
-            x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-            yield _arrow(id=batch.column(0).filter(pa.array(ok)), v=_binary(np.rint(x * SCALE).astype("<i2").view(np.uint8).reshape(len(x), 2 * dim)))
+            yield _arrow(id=batch.column(0).filter(pa.array(ok)), v=_binary(pack_rows(x[ok]).reshape(-1, packed_width(dim))))
 
     whole = df.where(F.col(id).isNotNull() & (F.size(vector) == dim) & ~F.exists(vector, lambda x: x.isNull()))
     return whole.select(F.col(id).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("v")).mapInArrow(pack, "id string, v binary")
 
 
-def _unpack(m: np.ndarray) -> np.ndarray:
-    x = m.copy().view("<i2").astype(np.float32)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     """The ordered list of nearest pivots of each row."""
     out = np.empty((len(x), length), np.int32)
@@ -88,24 +106,28 @@ def footrule_agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def k_nearest_classes(
-    vectors: DataFrame, dim: int, *, k: int = 10, min_similarity: float = -1.0, pivots_a_root: float = 10.0, least_pivots: int = 64, most_pivots: int = 16384,
+    vectors: DataFrame, dim: int, *, drawn_from: Callable | None = None, n: int | None = None, k: int = 10, min_similarity: float = -1.0, pivots_a_root: float = 10.0, least_pivots: int = 64, most_pivots: int = 16384,
     length: int = 3, rerank: int = 64, block: int = 8192, sample: int = 16384,
 ) -> DataFrame:
     """(a, b, similarity): up to k nearest distinct directions b of each direction a.
 
     ``vectors``: (id, v) with distinct v. ``sample`` bounds the pivots and the rows
-    from which file lengths are estimated.
+    from which file lengths are estimated. ``n`` (about the number of vectors) and
+    ``drawn_from`` (gives the vectors whose id meets a condition, copies among them)
+    may stand in where
+    ``vectors`` is costly, since both read it once more.
     """
-    n = vectors.count()
+    n = vectors.count() if n is None else n
     m = int(min(max(least_pivots, pivots_a_root * n**0.5), most_pivots, sample, max(1, n)))
     share = min(1.0, 1.3 * max(m, min(sample, 4 * m)) / max(1, n))
-    drawn = vectors.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(min(sample, 4 * m)).collect()
+    part = lambda c: F.pmod(F.xxhash64(c, F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
+    drawn = (drawn_from(part) if drawn_from is not None else vectors.where(part("id"))).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(min(sample, 4 * m)).collect()
     empty = vectors.sparkSession.createDataFrame([], "a string, b string, similarity float")
     if not drawn:
         return empty
-    seen = _unpack(np.stack([np.frombuffer(r["v"], np.uint8) for r in drawn]))
+    seen = unpack_rows(np.stack([np.frombuffer(v, np.uint8) for v in dict.fromkeys(bytes(r["v"]) for r in drawn)]), dim)
     pivots = np.ascontiguousarray(seen[:m])
-    length = min(length, len(pivots))
+    length, width = min(length, len(pivots)), packed_width(dim)
     used = np.bincount(nearest_pivots(seen, pivots, length).ravel(), minlength=len(pivots))
     salts = np.maximum(1, np.ceil(used * (n / len(seen)) / block)).astype(np.int32) if n > block else np.ones(len(pivots), np.int32)
     shared = vectors.sparkSession.sparkContext.broadcast((pivots, salts))  # at most most_pivots rows
@@ -115,8 +137,8 @@ def k_nearest_classes(
         for batch in it:
             if not batch.num_rows:
                 continue
-            m = _matrix(batch.column(1), 2 * dim)
-            lists = nearest_pivots(_unpack(m), pivots, length)
+            m = _matrix(batch.column(1), width)
+            lists = nearest_pivots(unpack_rows(m, dim), pivots, length)
             row = np.repeat(np.arange(len(m)), length)
             cell, spread = lists.ravel(), salts[lists.ravel()]
             home = (row * 2654435761 % (1 << 31)) % spread
@@ -129,7 +151,7 @@ def k_nearest_classes(
                 salt = np.r_[np.zeros((~many).sum(), int), salt]
             else:
                 entry, salt = np.ones(len(row), bool), np.zeros(len(row), int)
-            yield _arrow(cell=(cell.astype(np.int64) << 20) | salt, entry=entry, id=batch.column(0).take(pa.array(row)), v=_binary(np.hstack([m[row], lists[row].astype("<i4").view(np.uint8)])))
+            yield _arrow(cell=(cell.astype(np.int64) << 20) | salt, entry=entry, id=batch.column(0).take(pa.array(row)), v=_binary(np.hstack([m[row], lists[row].astype("<i2").view(np.uint8)])))
 
     def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -141,7 +163,7 @@ def k_nearest_classes(
                 if e - s < 2:
                     continue
                 part = np.ascontiguousarray(m[s:e])
-                x, lists = _unpack(part[:, : 2 * dim]), part[:, 2 * dim :].copy().view("<i4")
+                x, lists = unpack_rows(part[:, :width], dim), part[:, width:].copy().view("<i2")
                 is_entry = np.flatnonzero(entry[s:e])
                 y, ylists = x[is_entry], lists[is_entry]
                 here = cells[s] >> 20
@@ -177,7 +199,7 @@ def k_nearest_classes(
                 t = t.slice(0, until)
             if len(t):
                 t = t.combine_chunks()
-                yield from solve(t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).to_numpy(), _matrix(t.column(3), 2 * dim + 4 * length))
+                yield from solve(t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).to_numpy(), _matrix(t.column(3), width + 2 * length))
 
         for batch in it:
             if not batch.num_rows:
@@ -200,17 +222,19 @@ def k_nearest_classes(
 def k_nearest(df: DataFrame, *, id: str = "id", vector: str = "embedding", dim: int, k: int = 10, min_similarity: float = -1.0, **options) -> DataFrame:
     """(id, neighbour_id, similarity, rank) of up to k nearest ids of every usable id."""
     packed = pack_directions(df, id, vector, dim)
-    classes = packed.groupBy("v").agg(F.min("id").alias("id"), F.max("id").alias("top"))
-    near = k_nearest_classes(classes.select("id", "v"), dim, k=k, min_similarity=min_similarity, **options)
-    # ids of one direction: the least k + 1 of each class suffice to fill any list
+    classes = packed.groupBy("v").agg(F.min("id").alias("id")).select("id", "v")
+    # the sample is drawn before vectors are packed: the filter reaches the scan
+    few = lambda part: pack_directions(df.where(part(F.col(id).cast("string"))), id, vector, dim)
+    near = k_nearest_classes(classes, dim, drawn_from=few, n=df.where(F.col(vector).isNotNull()).count(), k=k, min_similarity=min_similarity, **options)
+    # Ids of one direction: most directions have one id and stand for themselves.
     members = packed.select(F.xxhash64("v").alias("h"), "id").distinct()
-    head = members.groupBy("h").agg(F.min("id").alias("class"), F.count("*").alias("copies"))
-    named = members.join(head, "h").select("class", "id", "copies")
-    first = named.where(F.col("copies") == 1).select("class", F.col("id").alias("neighbour_id")).unionByName(
-        named.where(F.col("copies") > 1).withColumn("_r", F.row_number().over(W.partitionBy("class").orderBy("id"))).where(F.col("_r") <= k + 1).select("class", F.col("id").alias("neighbour_id"))
-    )
-    own = named.where(F.col("copies") > 1).select("id", F.col("class").alias("b"), F.lit(1.0).cast("float").alias("similarity"))
-    other = named.join(near, named["class"] == near["a"]).select("id", "b", "similarity")
-    lists = own.unionByName(other).join(first.withColumnRenamed("class", "b"), "b").where(F.col("id") != F.col("neighbour_id"))
+    shared = members.groupBy("h").agg(F.min("id").alias("class"), F.count("*").alias("copies")).where(F.col("copies") > 1)
+    copies = materialize(members.join(shared, "h").select("class", "id"), "copies")
+    # of a class, its least k + 1 ids suffice to fill any list
+    first = copies.withColumn("_r", F.row_number().over(W.partitionBy("class").orderBy("id"))).where(F.col("_r") <= k + 1).select("class", F.col("id").alias("other"))
+    own = copies.join(first, "class").select("id", F.col("other").alias("neighbour_id"), F.lit(1.0).cast("float").alias("similarity"))
+    wide = near.join(first.withColumnRenamed("class", "b"), "b", "left").select("a", F.coalesce("other", "b").alias("neighbour_id"), "similarity")
+    wide = wide.join(copies.withColumnRenamed("class", "a"), "a", "left").select(F.coalesce("id", "a").alias("id"), "neighbour_id", "similarity")
     rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "neighbour_id"))
+    lists = own.unionByName(wide).where(F.col("id") != F.col("neighbour_id"))
     return lists.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "neighbour_id", "similarity", "rank")
