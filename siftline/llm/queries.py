@@ -13,6 +13,7 @@ from siftline.llm.names import learn_common, link_names, name_pairs
 from siftline.llm.near_duplicates import duplicate_fields, near_duplicate_links, near_duplicate_pairs
 from siftline.llm.pii import given_names, mask_pii, pii_findings
 from siftline.llm.splitting import split_oversized, word_count
+from siftline.llm.subjects import document_subjects
 from siftline.llm.tokenize import encode_corpus
 from siftline.sources.shared import materialize
 from siftline.sources.tables import table
@@ -127,8 +128,17 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(materialize(_document_sizes(spark, d), "sizes"), table(spark, d, "mix_target"))
 
 
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return document_subjects(table(spark, d, "documents").select("doc_id", "text", "lang"), table(spark, d, "subject_label"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    known = table(spark, d, "subject_area").select("subject").distinct()
+    return p9_shares(spark, d).select("doc_id", "subject").join(known, "subject", "left_semi").select("doc_id", "subject")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_fields, p3_found, p3_assignment, p3_clusters, p4_found, p4_entities, p5_found, p5_pieces, p6_found, p6_masked, p7_ids, p8_found, p8_report, p8_mix)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_fields, p3_found, p3_assignment, p3_clusters, p4_found, p4_entities, p5_found, p5_pieces, p6_found, p6_masked, p7_ids, p8_found, p8_report, p8_mix, p9_found, p9_shares)}
 
 
 WORDS = r"len(regexp_extract_all(coalesce(c.text, ''), '[^ \t\r\n]+'))"
