@@ -56,8 +56,8 @@ def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
 _word_ids: dict[str, int] = {}
 
 
-def signatures(texts: list[str], shingle: int, n: int = HASHES) -> np.ndarray:
-    """MinHash values, uint32 of shape (texts, n); every text has at least one word."""
+def shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all word shingles, number of each text); every text has at least one."""
     if len(_word_ids) > 2_000_000:
         _word_ids.clear()
     ids, lengths = [], []
@@ -69,21 +69,36 @@ def signatures(texts: list[str], shingle: int, n: int = HASHES) -> np.ndarray:
         ids.append(np.fromiter((_word_ids[w] for w in words), np.uint64, len(words)))
         lengths.append(len(words))
     lens = np.array(lengths)
-    flat = np.concatenate([*ids, np.zeros(shingle - 1, np.uint64)])
+    flat = np.concatenate([*ids, np.zeros(size - 1, np.uint64)])
     total = lens.sum()
     h = np.zeros(total, np.uint64)
     own = np.repeat(np.cumsum(lens), lens)  # end of the text a position belongs to
     at = np.arange(total)
-    for k in range(shingle):
-        inside = at + k < own
-        h = h * np.uint64(0x9E3779B97F4A7C15) + np.where(inside, flat[k : total + k], np.uint64(0))
+    for k in range(size):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + np.where(at + k < own, flat[k : total + k], np.uint64(0))
     # a shingle starts where it fits; a short text has one from its first word
     starts = np.cumsum(lens) - lens
-    fits = (at + shingle <= own) | (at == np.repeat(starts, lens))
+    fits = (at + size <= own) | (at == np.repeat(starts, lens))
     h = h[fits]
     h ^= h >> np.uint64(31)
-    counts = np.add.reduceat(fits, starts)
+    return h, np.add.reduceat(fits.astype(np.int64), starts)
+
+
+def signatures(texts: list[str], size: int, common: np.ndarray, n: int = HASHES) -> np.ndarray:
+    """MinHash values, uint32 of shape (texts, n).
+
+    ``common`` shingles (sorted) are passed over in texts of which they make up at
+    most two fifths, so wording patterns alone make no candidates; a text made of
+    them keeps them all.
+    """
+    h, counts = shingles(texts, size)
     cut = np.cumsum(counts) - counts
+    if len(common):
+        usual = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
+        share = np.add.reduceat(usual.astype(np.int64), cut) / counts
+        keep = ~usual | np.repeat(share > 0.4, counts)
+        counts = np.add.reduceat(keep.astype(np.int64), cut)
+        h, cut = h[keep], np.cumsum(counts) - counts
     a, b = _coefficients(n)
     out = np.empty((len(texts), n), np.uint32)
     for k in range(n):
@@ -91,6 +106,29 @@ def signatures(texts: list[str], shingle: int, n: int = HASHES) -> np.ndarray:
     return out
 
 
+def common_shingles(texts: DataFrame, size: int, *, share: float = 0.002, most: int = 200_000) -> np.ndarray:
+    """Sorted hashes of the shingles that at least ``share`` of all texts hold.
+
+    Counted over all texts. A shingle that reaches the share overall reaches half
+    of it in some Arrow batch or is counted in none; batches leave out what is
+    rarer there, so what is sent stays a small multiple of the result. At most
+    ``most`` (they are at most words a text / share) reach the driver.
+    """
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            h, counts = shingles(batch.column(0).to_pylist(), size)
+            found, n = np.unique(h, return_counts=True)
+            keep = n >= max(2, share / 2 * batch.num_rows)
+            yield _arrow(shingle=found[keep].view(np.int64), n=n[keep].astype(np.int64))
+
+    rows = texts.select("words").mapInArrow(count, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    kept = rows.where(F.col("n") >= texts.count() * share).orderBy(F.desc("n"), "shingle").limit(most).collect()
+    return np.sort(np.array([r["shingle"] for r in kept], np.int64).view(np.uint64))
+
+
 def sketch(sig: np.ndarray) -> np.ndarray:
     """Four bits of each hash, two hashes a byte."""
     low = ((sig ^ (sig >> np.uint32(11)) ^ (sig >> np.uint32(19))) & np.uint32(15)).astype(np.uint8)
@@ -240,6 +278,7 @@ def _bucket_pairs(block: int, least: tuple[int, ...]):
 
 def candidate_links(texts: DataFrame, *, shingle: int, bands: int, rows: int, least_jaccard: float, miss: float, block: int) -> DataFrame:
     """(a, b): hashes of distinct texts whose similarity no batch ruled out. ``texts``: h, words."""
+    shared = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, shingle))
 
     def post(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -247,7 +286,7 @@ def candidate_links(texts: DataFrame, *, shingle: int, bands: int, rows: int, le
             h, first = np.unique(h, return_index=True)  # copies within a batch are posted once
             if not len(h):
                 continue
-            sig = signatures(batch.column(1).take(pa.array(first)).to_pylist(), shingle)
+            sig = signatures(batch.column(1).take(pa.array(first)).to_pylist(), shingle, shared.value)
             s = sketch(sig)
             keys = []
             for b in range(bands):
@@ -293,16 +332,17 @@ BROADCAST_ROWS = 1_000_000
 
 
 def near_duplicate_links(
-    df: DataFrame, *, id: str = "id", text: str = "text", shingle: int = 4, bands: int = 10, rows: int = 2,
+    df: DataFrame, *, id: str = "id", text: str = "text", shingle: int = 5, bands: int = 14, rows: int = 2,
     least_jaccard: float = 0.3, miss: float = 0.01, least: float = 0.8, least_pairs: float = 0.5, block: int = 2048,
 ) -> tuple[DataFrame, DataFrame]:
     """(members: id, class), (links: a, b, similarity between classes).
 
-    Defaults are for edits of up to a fifth of the words; for the usual five-word
-    shingles at Jaccard 0.8 pass shingle=5, least_jaccard=0.8.
+    Defaults are for edits of up to a fifth of the words, which leave a Jaccard
+    similarity of five-word shingles of about 0.3; for plain near-copies pass
+    least_jaccard=0.8.
     """
     folded = df.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), fold_words(F.col(text)).alias("words")).where(F.col("words") != "")
-    keyed = folded.select("id", F.unhex(F.md5("words")).alias("class"), F.xxhash64("words").alias("h"), "words")
+    keyed = materialize(folded.select("id", F.unhex(F.md5("words")).alias("class"), F.xxhash64("words").alias("h"), "words"), "folded")
     members = keyed.select("id", "class").distinct()
     pairs = materialize(candidate_links(keyed.select("h", "words"), shingle=shingle, bands=bands, rows=rows, least_jaccard=least_jaccard, miss=miss, block=block), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
