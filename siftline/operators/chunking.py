@@ -1,12 +1,21 @@
-"""Token chunks with overlap at paragraph and sentence ends, in the JVM."""
+"""Token chunks with overlap at paragraph and sentence ends."""
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.text import TOKEN, tokens
 
+TOKEN_RE = regex.compile(TOKEN)
+PARAGRAPH_END = regex.compile(r"\n[ \t]*\n\s*")
+SENTENCE_END = regex.compile(r"[.!?][\"')\]]*(?=\s)")
+
 
 def token_offsets(text: Column) -> Column:
     """array<int>: start of each token; the tokens part the text without loss."""
@@ -25,14 +34,28 @@ def fixed_windows(n_tokens: Column, size: int, overlap: int) -> Column:
     return F.when(n_tokens <= 0, F.array().cast("array<struct<start:int,end:int>>")).otherwise(F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((i * step).alias("start"), F.least(i * step + size, n_tokens).alias("end"))))
 
 
-def boundary_tokens(text: Column, lengths: Column, pattern: str) -> Column:
-    """Token numbers at which matches of the pattern end: a piece may end before them."""
-    # cut after each match; the token that starts there is a boundary
-    marked = F.regexp_replace(text, pattern, "$0\x01")
-    cuts = F.split(marked, "\x01")
-    ends = F.aggregate(cuts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.array_append(s["out"], s["at"] + F.length(p)).alias("out")), lambda s: s["out"])
-    at = F.transform(ends, lambda e: F.array_position(lengths, e))  # 1-based position of the token that starts there
-    return F.filter(at, lambda p: p > 1)
+def split_tokens(text: str, size: int, overlap: int) -> list[tuple[int, ...]]:
+    """(start token, end token, start, end, overlap tokens, overlap characters) of each chunk."""
+    starts = [m.start() for m in TOKEN_RE.finditer(text)]
+    n = len(starts)
+    edges = [*starts, len(text)]
+    paragraph = sorted({i for m in PARAGRAPH_END.finditer(text) if 0 < (i := bisect_left(starts, m.end())) < n})
+    sentence = sorted({i for m in SENTENCE_END.finditer(text) if 0 < (i := bisect_left(starts, m.end())) < n})
+    least = max(size // 2, overlap + 1)
+    out, start, before = [], 0, None
+    while n:
+        hard = min(start + size, n)
+        end = n
+        if hard < n:
+            low = start + least - 1
+            fits = (p[k - 1] for p in (paragraph, sentence) if (k := bisect_right(p, hard)) and p[k - 1] > low)
+            end = next(fits, hard)
+        shared = 0 if before is None else before - start
+        out.append((start, end, edges[start], edges[end], shared, 0 if before is None else edges[before] - edges[start]))
+        if end >= n:
+            break
+        start, before = end - overlap, end
+    return out
 
 
 def chunk_spans(df: DataFrame, *, text: str = "text", size: int = 512, overlap: int = 64, keep: list[str] | None = None) -> DataFrame:
@@ -40,35 +63,21 @@ def chunk_spans(df: DataFrame, *, text: str = "text", size: int = 512, overlap:
 
     A chunk ends at the last paragraph end in (start + least - 1, start + size], else
     the last sentence end, else after ``size`` tokens; the next starts ``overlap``
-    tokens before. Runs as a fold over at most as many steps as chunks can be, in
-    one stage without a shuffle. Null and empty texts have no chunk.
+    tokens before. One pass without a shuffle. Null and empty texts have no chunk.
     """
     if not 0 <= overlap <= size // 2:
         raise ValueError("overlap must lie between 0 and half of size")
-    least = max(size // 2, overlap + 1)
     keep = [c for c in df.columns if c != text] if keep is None else keep
-    d = df.where(F.length(text) > 0).select(*keep, F.col(text).alias("_t"))
-    d = d.withColumn("_len", F.transform(F.regexp_extract_all("_t", F.lit(TOKEN), F.lit(0)), F.length)).withColumn("_n", F.size("_len"))
-    d = d.withColumn("_at", F.expr("aggregate(_len, named_struct('at', 0, 'out', cast(array() as array<int>)), (s, x) -> named_struct('at', s.at + x, 'out', array_append(s.out, s.at)), s -> s.out)"))
-    d = d.withColumn("_par", boundary_tokens(F.col("_t"), F.col("_at"), r"\n[ \t]*\n\s*")).withColumn("_sen", boundary_tokens(F.col("_t"), F.col("_at"), r"[.!?][\"')\]]*(?=\s)"))
-    most = F.ceil(F.col("_n") / (least - overlap)).cast("int") + 1
-
-    def step(s, _):
-        hard = F.least(s["start"] + size, F.col("_n"))
-        inside = lambda c: F.array_max(F.filter(c, lambda x: (x - 1 > s["start"] + least - 1) & (x - 1 <= hard))) - 1
-        end = F.when(s["start"] + size >= F.col("_n"), F.col("_n")).otherwise(F.coalesce(inside(F.col("_par")), inside(F.col("_sen")), hard)).cast("int")
-        done = s["done"] | (F.col("_n") == 0)
-        return F.when(done, s).otherwise(F.struct((end - overlap).cast("int").alias("start"), (end >= F.col("_n")).alias("done"), F.array_append(s["out"], F.struct(s["start"].alias("start"), end.alias("end"))).alias("out")))
-
-    zero = F.struct(F.lit(0).alias("start"), F.lit(False).alias("done"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    d = d.withColumn("_spans", F.aggregate(F.sequence(F.lit(1), most), zero, step, lambda s: s["out"]))
-    d = d.select("*", F.posexplode("_spans").alias("chunk_index", "_s"))
-    start = F.element_at("_at", F.col("_s.start") + 1)
-    end = F.when(F.col("_s.end") >= F.col("_n"), F.length("_t")).otherwise(F.try_element_at("_at", F.col("_s.end") + 1))
-    before = F.when(F.col("chunk_index") > 0, F.get("_spans", F.col("chunk_index") - 1)["end"])
-    d = d.withColumn("start_offset", start).withColumn("end_offset", end).withColumn("overlap_prev_tokens", F.coalesce(before - F.col("_s.start"), F.lit(0)))
-    over = F.when(before.isNotNull(), F.coalesce(F.try_element_at("_at", before + 1), F.length("_t")) - F.col("start_offset")).otherwise(0)
-    return d.withColumn("overlap_prev_chars", over).select(*keep, "chunk_index", F.col("_s.start").alias("start_token"), F.col("_s.end").alias("end_token"), "start_offset", "end_offset", "overlap_prev_tokens", "overlap_prev_chars", F.substring("_t", F.col("start_offset") + 1, F.col("end_offset") - F.col("start_offset")).alias("text"))
+    kind = "array<struct<start_token:int,end_token:int,start_offset:int,end_offset:int,overlap_prev_tokens:int,overlap_prev_chars:int>>"
+
+    @F.pandas_udf(kind)
+    def spans(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield s.map(lambda t: split_tokens(t, size, overlap))
+
+    names = ("start_token", "end_token", "start_offset", "end_offset", "overlap_prev_tokens", "overlap_prev_chars")
+    cut = df.where(F.length(text) > 0).select(*keep, F.col(text).alias("_t"), F.posexplode(spans(F.col(text))).alias("chunk_index", "_s"))
+    return cut.select(*keep, "chunk_index", *[F.col(f"_s.{c}").alias(c) for c in names], F.substring("_t", F.col("_s.start_offset") + 1, F.col("_s.end_offset") - F.col("_s.start_offset")).alias("text"))
 
 
 def token_histogram(counts: DataFrame, size: int, bins: int = 12) -> DataFrame:

@@ -12,6 +12,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Accepted extensions and limits of one upload.
 EXTENSIONS = (".pdf", ".docx", ".md", ".txt")
@@ -44,7 +45,7 @@ def sniff(ext: Column, content: Column) -> Column:
     return F.when(F.coalesce(F.octet_length(content), F.lit(0)) == 0, "empty").otherwise(F.when(ext == ".pdf", pdf).when(ext == ".docx", docx).when(ext.isin(".md", ".txt"), plain).otherwise("unsupported extension"))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def docx_member(content: pd.Series) -> pd.Series:
     def has(b: bytes | None) -> bool:
         try:
@@ -102,7 +103,7 @@ def docx_text(content: bytes | None) -> str | None:
 
 
 def _column(f, c: Column) -> Column:
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
             yield s.map(f)
