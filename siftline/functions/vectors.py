@@ -43,15 +43,15 @@ def exact_top_k(
     """
     n_q, n_v = queries.count(), vectors.count()
     qb, vb = -(-max(1, n_q) // query_block), -(-max(1, n_v) // vector_block)
-    left = queries.select(F.col("id").alias("qid"), F.col("v"), F.pmod(F.xxhash64("id"), F.lit(qb)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(vb - 1))).alias("vb"))
-    right = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(vb)).cast("int").alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).cast("long").alias("qb"))
+    left = queries.select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.pmod(F.xxhash64("id"), F.lit(qb)).cast("long").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(vb - 1))).alias("vb"))
+    right = vectors.select(F.col("id").alias("vid"), F.col("v").alias("vv"), F.pmod(F.xxhash64("id"), F.lit(vb)).cast("int").alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1)).cast("array<bigint>")).alias("qb"))
     id_type = dict(vectors.dtypes)["id"]
 
     def meet(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(v):
-            return pd.DataFrame({"query_id": q["qid"][:0], "id": v["id"][:0], "similarity": np.zeros(0)})
-        x, y = np.stack(q["v"].to_list()).astype(np.float64), np.stack(v["v"].to_list()).astype(np.float64)
-        qid, vid = q["qid"].to_numpy(), v["id"].to_numpy()
+            return pd.DataFrame({"query_id": q["qid"][:0], "id": v["vid"][:0], "similarity": np.zeros(0)})
+        x, y = np.stack(q["qv"].to_list()).astype(np.float64), np.stack(v["vv"].to_list()).astype(np.float64)
+        qid, vid = q["qid"].to_numpy(), v["vid"].to_numpy()
         out = []
         for s in range(0, len(x), 256):
             sim = x[s : s + 256] @ y.T
