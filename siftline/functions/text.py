@@ -94,12 +94,19 @@ def truncate_at_sentence(c: Column, limit: int) -> Column:
     cut = F.left(c, F.lit(limit - 1))
     at = F.length(cut) - F.greatest(F.lit(0), F.length(F.regexp_extract(cut, r"(?s)^.*\.(?=[ \n])(.*)$", 1)))
     ends = cut.rlike(r"(?s)^.*\.[ \n].*$") & (at > limit / 2)
-    return F.when(F.length(c) <= limit, c).otherwise(F.concat(F.when(ends, F.substring(cut, F.lit(1), at)).otherwise(cut), F.lit(" …")))
+    return F.when(F.length(c) <= limit, c).otherwise(F.concat(F.when(ends, F.substring(cut, F.lit(1), at)).otherwise(F.rtrim(cut)), F.lit(" …")))
+
+
+# Phrases by which an answer says that the documents hold none.
+SAYS_NOTHING = (
+    r"(?i)(do(es)? not (cover|contain|mention|include)|don'?t know|not (found|mentioned|covered) in"
+    r"|no (relevant )?information|cannot (find|answer)|isn'?t (covered|mentioned))"
+)
 
 
 def no_answer(answer: Column, cited: Column) -> Column:
-    said = answer.rlike(r"(?i)(could not find|couldn't find|cannot find|can't find|do(es)? not contain|not (available|mentioned|found) in (the )?(provided|given|retrieved))")
-    return F.when(said & (F.size(cited) == 0), F.lit(NO_ANSWER)).otherwise(answer)
+    """The standard message where an answer says it found nothing and cites nothing valid."""
+    return F.when(answer.rlike(SAYS_NOTHING) & (F.size(cited) == 0), F.lit(NO_ANSWER)).otherwise(answer)
 
 
 def cache_key(kind: Column, model: Column, text: Column) -> Column:
