@@ -38,7 +38,7 @@ from siftline.llm.near_duplicates import _arrow, _binary
 from siftline.llm.terms import WORD
 from siftline.sources.shared import materialize
 
-ABBREVIATION = re.compile(r"\b(approx|cf|no|sect|e\.g|i\.e|incl|etc|kg|nr|art|mr|ms|mrs|dr|prof)\.", re.IGNORECASE)
+ABBREVIATION = re.compile(r"\b(mr|ms|mrs|dr|prof|e\.g|i\.e|(?:approx|cf|no|sect|incl|etc|kg|nr|art)(?=\.(?!\s+[\"'“(]?(?-i:[A-ZÀ-Þ]))))\.", re.IGNORECASE)
 CASED = re.compile(r"\n+|(?<=[.?!])[\"'”)]?\s+(?=[\"'“¿¡(]?[A-ZÀ-Þ0-9])")
 MARKUP = re.compile(r"<[^<>]{1,200}>|^#.*$", re.MULTILINE)
 UNCASED = re.compile(r"\n+|(?<=[.?!])[\"'”)]?\s+")
