@@ -55,7 +55,7 @@ def str4_retention(spark, d):
     return last.crossJoin(F.broadcast(now)).where(F.col("last") < F.col("now") - F.expr("interval 3600 seconds")).select("run_id", "last")  # now is one row
 
 
-@query(f"select run_id, seq, stage, coalesce(epoch_ms(ts) - lag(epoch_ms(ts)) over (partition by run_id order by seq), 0) as duration_ms from {SEQ}")
+@query(f"select run_id, seq, stage, coalesce(epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) over (partition by run_id order by seq), 0) as duration_ms from {SEQ}")
 def str6_durations(spark, d):
     return S.durations(run_events(spark, d))
 

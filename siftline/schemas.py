@@ -22,9 +22,11 @@ _DDL = {
     "golden_line": "question string, ground_truth string, relevant_chunk_ids array<string>",
 }
 
-SCHEMAS = {k: T.StructType.fromDDL(v) for k, v in _DDL.items()}
+
+def schema(name: str) -> T.StructType:
+    return T.StructType.fromDDL(_DDL[name])
 
 
 def export_schemas() -> dict:
     """JSON form of every schema."""
-    return {k: json.loads(s.json()) for k, s in SCHEMAS.items()}
+    return {k: json.loads(schema(k).json()) for k in _DDL}

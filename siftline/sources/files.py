@@ -141,10 +141,10 @@ def uploads(spark: SparkSession, path: str) -> DataFrame:
 
 def golden_lines(spark: SparkSession, path: str) -> DataFrame:
     """Golden-set lines with 1-based line numbers and the errors of each; blank lines are skipped."""
-    from siftline.schemas import SCHEMAS
+    from siftline.schemas import schema
 
     raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "value")).where(F.trim("value") != "")
-    parsed = raw.select((F.col("at") + 1).alias("line"), "value", F.from_json("value", SCHEMAS["golden_line"], {"mode": "PERMISSIVE"}).alias("q"), F.expr("try_parse_json(value) IS NOT NULL").alias("json"))
+    parsed = raw.select((F.col("at") + 1).alias("line"), "value", F.from_json("value", schema("golden_line"), {"mode": "PERMISSIVE"}).alias("q"), F.expr("try_parse_json(value) IS NOT NULL").alias("json"))
     return parsed.select("line", "q.*", golden_errors(F.col("line"), F.col("json"), F.col("q.question"), F.col("q.ground_truth"), F.col("q.relevant_chunk_ids")).alias("errors"))
 
 
