@@ -138,3 +138,20 @@ def ngrams(c: Column, most: int = 6) -> Column:
     w = F.split(F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{M}\p{N}_]+", " ")), " ")
     spans = F.flatten(F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size(w) - i + 1)), lambda n: F.array_join(F.slice(w, i, n), " "))))
     return F.array_distinct(F.filter(F.transform(spans, lambda x: F.regexp_replace(x, r"^(the|a|an) ", "")), lambda x: x != ""))
+
+
+def answer_segments(answer: Column, valid: Column) -> Column:
+    """array<struct<kind, value>>: text and cite parts in order; a bracket cites only if all its ids are valid."""
+    parts = F.filter(F.split(answer, r"(?=\[[^\[\]]+\])|(?<=\])"), lambda p: p != "")
+
+    def part(p: Column) -> Column:
+        ids = F.filter(F.split(F.regexp_extract(p, r"^\[([^\[\]]+)\]$", 1), r"[,;\s]+"), lambda x: x != "")
+        cites = (F.size(ids) > 0) & F.forall(ids, lambda x: F.array_contains(valid, x))
+        return F.struct(F.when(cites, "cite").otherwise("text").alias("kind"), p.alias("value"))
+
+    return F.transform(parts, part)
+
+
+def run_label(question: Column, filenames: Column) -> Column:
+    """The question of a query run, the files of an ingest run."""
+    return F.when(question.isNotNull(), question).otherwise(F.array_join(filenames, ", "))

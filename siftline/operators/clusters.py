@@ -58,14 +58,20 @@ def renumber(labelled: DataFrame) -> DataFrame:
 
 
 def member_hash(members: DataFrame) -> DataFrame:
-    """(cluster_id, size, member_hash): 16 hex digits over the sorted ids.
+    """(cluster_id, size, member_hash): 16 hex digits of sha256 over the sorted ids parted by line ends.
 
-    Ids are hashed one by one and the sorted hashes again in chunks, so the hash needs no
-    list of a whole cluster in one row.
+    The hash is defined over the whole list, so the ids of a cluster meet in one row;
+    where clusters outgrow that, ``member_fingerprint`` tells the same changes apart.
     """
     return members.groupBy("cluster_id").agg(F.count("*").alias("size"), F.left(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("id").cast("string"))), "\n"), 256), F.lit(16)).alias("member_hash"))
 
 
+def member_fingerprint(members: DataFrame) -> DataFrame:
+    """(cluster_id, size, fingerprint): sum of hashes of the ids, whatever their order; combined on the map side."""
+    h = F.xxhash64(F.col("id").cast("string")).cast("decimal(38,0)")
+    return members.groupBy("cluster_id").agg(F.count("*").alias("size"), F.sum(h).cast("string").alias("fingerprint"))
+
+
 def key_terms(texts: DataFrame, *, top: int = 3, stop: Iterable[str] = STOP_WORDS) -> DataFrame:
     """(cluster_id, rank, term, score): class-based tf-idf with rows of unit length.
 

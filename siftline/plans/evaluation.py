@@ -197,3 +197,17 @@ def evl2_offline_evaluation(spark, d):
     """One row a run: ranking metrics and stand-in judge scores of its candidates; runs without a score keep nulls."""
     j = _judged(spark, d)
     return E.hit_and_rank(j, 4).join(candidates(spark, d).groupBy("query_id").agg(F.round(F.avg("similarity"), 4).alias("similarity")), "query_id", "left")
+
+
+@query()
+def evl1_online_evaluation(spark, d):
+    """Faithfulness, precision and relevancy of each question's answer; null where there is none."""
+    shares = QUERIES["agg18_20_judge_shares"](spark, d).select(F.col("query_id").alias("id"), "faithfulness", "context_precision")
+    return questions(spark, d).select("id").join(shares, "id", "left").join(QUERIES["agg23_relevancy"](spark, d), "id", "left")
+
+
+@query(f"select chunk_size, chunk_overlap, count(distinct sha256) as files, sum(chunk_count)::bigint as chunks from {DOCS} where status = 'ready' group by 1, 2")
+def evl3_index_builds(spark, d):
+    """One throwaway index for each way of chunking; its key hashes what it is built from."""
+    ready = documents(spark, d).where(F.col("status") == "ready")
+    return ready.groupBy("chunk_size", "chunk_overlap").agg(F.count_distinct("sha256").alias("files"), F.sum("chunk_count").cast("long").alias("chunks"))

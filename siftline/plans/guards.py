@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -178,3 +179,64 @@ def grd3_output_guards(spark, d):
 def fn22_clamp_verdict(spark, d):
     s = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.length("question") / 100.0))
     return questions(spark, d).where(F.col("question").isNotNull()).select("id", s.alias("score"), (s >= 0.8).alias("blocks"))
+
+
+@query()
+def fn18_answer_segments(spark, d):
+    return answers(spark, d).select("id", F.explode(X.answer_segments(F.col("answer"), F.col("ids"))).alias("s")).select("id", "s.kind", "s.value")
+
+
+@query(f"select id, coalesce(question, array_to_string(list_transform(coalesce(relevant_spans, []), lambda s: s.filename), ', ')) as label from {QUESTIONS}")
+def fn21_run_label(spark, d):
+    files = F.coalesce(F.col("relevant_spans.filename"), F.array().cast("array<string>"))
+    return questions(spark, d).select("id", X.run_label(F.col("question"), files).alias("label"))
+
+
+@query()
+def grd4_groundedness(spark, d):
+    """Stand-in judge: a sentence of an answer is supported if half of its words stand in the cited chunks."""
+    from siftline.operators.retrieval import words
+
+    q = questions(spark, d).select("id", F.explode(X.sentences(F.coalesce("ground_truth", F.lit("")))).alias("sentence"))
+    cited = questions(spark, d).select("id", F.explode("relevant_spans.chunk_id").alias("chunk_id")).distinct()
+    known = cited.join(chunks(spark, d).select(F.col("id").alias("chunk_id"), "text"), "chunk_id").select("id", F.explode(words(F.col("text"))).alias("w")).distinct()
+    said = q.select("id", "sentence", F.explode(words(F.col("sentence"))).alias("w"))
+    share = said.join(known.withColumn("in", F.lit(1)), ["id", "w"], "left").groupBy("id", "sentence").agg(F.avg(F.coalesce("in", F.lit(0))).alias("share"))
+    return share.select("id", "sentence", (F.col("share") >= 0.5).alias("supported"))
+
+
+@query()
+def grd6_served_copies(spark, d):
+    """What is served of each chunk with the guard on; the stored text stays."""
+    return chunks(spark, d).select("id", F.coalesce(R.mask_pii(F.col("text")), F.when(F.col("text").isNotNull(), F.lit(X.WITHHELD))).alias("served"))
+
+
+@query()
+def grd7_masked_queries(spark, d):
+    return questions(spark, d).select("id", R.mask_pii(F.col("question")).alias("question"), R.pii_counts(F.col("question")).alias("found")).select("id", "question", F.size("found").alias("types"))
+
+
+@query()
+def kg17_query_entities(spark, d):
+    from siftline.providers import RuleExtractor, extract_entities
+
+    return extract_entities(questions(spark, d).select("id", F.col("question").alias("text")), RuleExtractor()).where(F.col("name").isNotNull()).select("id", "name").distinct()
+
+
+@query()
+def str5_redactor(spark, d):
+    """Chunks sent in pieces of twenty characters and redacted sentence by sentence."""
+    from siftline.streaming.events import redact_deltas
+
+    import re
+
+    email = re.compile(R.PATTERNS["EMAIL_ADDRESS"])
+
+    def send(t: str | None) -> str | None:
+        return None if t is None else "".join(redact_deltas([t[i : i + 20] for i in range(0, len(t), 20)], lambda x: email.sub("<EMAIL_ADDRESS>", x)))
+
+    @F.pandas_udf(T.StringType())
+    def sent(s: pd.Series) -> pd.Series:
+        return s.map(send)
+
+    return chunks(spark, d).select("id", sent("text").alias("out"))

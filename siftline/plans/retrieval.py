@@ -128,10 +128,12 @@ def flt8_ready_documents(spark, d):
 @query(f"""with cur as (select chunk_size, list(sha256 order by sha256) as now from {DOCS} where status = 'ready' group by 1), idx as (select chunk_size, list(sha256 order by sha256) as built from (select * from source_document qualify row_number() over (partition by id order by version, updated_at) = 1) where status = 'ready' group by 1)
   select chunk_size, coalesce(now <> built, true) as stale from cur left join idx using (chunk_size)""")
 def flt9_stale_index(spark, d):
-    # the index of each chunk size was built from first versions
-    sha = lambda df, name: df.where(F.col("status") == "ready").groupBy("chunk_size").agg(F.array_sort(F.collect_list("sha256")).alias(name))
+    # the index of each chunk size was built from first versions; counts by content are compared, no list is gathered
+    count = lambda df, name: df.where(F.col("status") == "ready").groupBy("chunk_size", "sha256").agg(F.count("*").alias(name))
     first = table(spark, d, "source_document").groupBy("id").agg(F.min_by(F.struct("status", "chunk_size", "sha256"), F.struct("version", "updated_at")).alias("f")).select("id", "f.*")
-    return sha(documents(spark, d), "now").join(sha(first, "built"), "chunk_size", "left").select("chunk_size", F.coalesce(F.col("now") != F.col("built"), F.lit(True)).alias("stale"))
+    now, built = count(documents(spark, d), "now"), count(first, "built")
+    both = now.join(built, ["chunk_size", "sha256"], "full_outer").groupBy("chunk_size").agg(F.bool_or(~F.col("now").eqNullSafe(F.col("built"))).alias("stale"))
+    return both.join(now.select("chunk_size").distinct(), "chunk_size", "left_semi")
 
 
 @query("select distinct s.sha256 as sha from (select unnest(relevant_spans).sha256 as sha256 from eval_question) s where s.sha256 is not null and s.sha256 not in (select sha256 from source_document where sha256 is not null)")
@@ -311,3 +313,26 @@ def hybrid_retrieval_eval(spark, d):
     judged = best.join(e.select(F.col("id").alias("chunk_id"), F.col("label").alias("found")), "chunk_id").join(q.select(F.col("id").alias("query_id"), "label"), "query_id")
     same = F.col("found") == F.col("label")
     return judged.groupBy("query_id").agg(F.max(same.cast("double")).alias("hit"), F.round(F.coalesce(1.0 / F.min(F.when(same, F.col("rank"))), F.lit(0.0)), 6).alias("mrr"))
+
+
+@query()
+def vec1_embed_documents(spark, d):
+    from siftline.providers import embed_column
+
+    return chunks(spark, d).where(F.col("text").isNotNull()).select("id", embed_column(F.col("text")).alias("embedding"))
+
+
+@query()
+def clu1_kmeans(spark, d):
+    return clusters.kmeans(embeddings(spark, d).select("id", F.col("v").cast("array<double>").alias("v")), 8, restarts=2).select("id", "label")
+
+
+@query()
+def clu2_silhouette(spark, d):
+    labelled = clusters.kmeans(embeddings(spark, d).select("id", F.col("v").cast("array<double>").alias("v")), 8, restarts=1)
+    return spark.createDataFrame([(round(clusters.silhouette(labelled), 4),)], "silhouette double")
+
+
+@query("select label as cluster_id, count(*) as size from embeddings group by 1")
+def agg11_member_fingerprint(spark, d):
+    return clusters.member_fingerprint(embeddings(spark, d).select("id", F.col("label").alias("cluster_id"))).select("cluster_id", "size")
