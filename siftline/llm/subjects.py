@@ -113,26 +113,30 @@ class _Batch:
 
     def project(self, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
         """Unit vectors of the sentences; zero where the terms weigh less than ``LIGHT`` together."""
-        heavy = np.sqrt(np.bincount(self.sentence, weight[self.term] ** 2, len(self.size))) >= LIGHT
         out = np.zeros((len(self.size), basis.shape[1]), np.float32)
-        ends = np.cumsum(self.size)
-        for s in range(0, len(self.size), 8192):
-            e = min(len(self.size), s + 8192)
-            a, b = (ends[s - 1] if s else 0), ends[e - 1]
-            k = self.term[a:b]
-            filled = np.flatnonzero(self.size[s:e])
-            if len(filled):
-                starts = (ends[s:e] - self.size[s:e] - a)[filled]
-                out[s + filled] = np.add.reduceat(weight[k, None] * basis[k], starts, axis=0)
-        return out * heavy[:, None] / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+        w = weight[self.term]
+        heavy = np.bincount(self.sentence, w * w, len(self.size)) >= LIGHT * LIGHT
+        use = np.flatnonzero((w > 0) & heavy[self.sentence])  # most terms have no weight
+        if not len(use):
+            return out
+        scaled = weight[:, None] * basis
+        term, sentence = self.term[use], self.sentence[use]
+        starts = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]])
+        step = 4096
+        for s in range(0, len(starts), step):
+            part = starts[s : s + step]
+            last = starts[s + step] if s + step < len(starts) else len(term)
+            out[sentence[part]] = np.add.reduceat(scaled[term[part[0] : last]], part - part[0], axis=0)
+        filled = sentence[starts]
+        out[filled] /= np.maximum(np.linalg.norm(out[filled], axis=1, keepdims=True), 1e-9)
+        return out
 
     def documents(self, weight: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, term, weight of unit length) of each distinct pair with weight."""
-        key, n = np.unique(self.doc[self.sentence] * size + self.term, return_counts=True)
+        use = weight[self.term] > 0
+        key, n = np.unique(self.doc[self.sentence[use]] * size + self.term[use], return_counts=True)
         d, k = key // size, key % size
         w = np.log1p(n) * weight[k]
-        keep = w > 0
-        d, k, w = d[keep], k[keep], w[keep]
         norm = np.sqrt(np.bincount(d, w * w, self.docs))
         return d, k, (w / norm[d]).astype(np.float32)
 
