@@ -18,7 +18,8 @@ up to ``most_labels`` documents (by hash), the vocabulary up to ``most_terms``
 terms (by number of texts); both bounds are parameters.
 
 Defined results: null, empty and blank texts and texts without a clear sentence
-have no subject; repeated texts count each; an id repeated counts once; without
+have no subject; one sentence among more than three is a passing mention;
+repeated texts count each; an id repeated counts once; without
 labels there is no result; subjects need not be known beforehand.
 """
 
@@ -339,8 +340,10 @@ def document_subjects(
             ok = (s >= similarity) & (np.abs(x).sum(axis=1) > 0)
             part = np.zeros((b.docs, n))
             np.add.at(part, (b.doc[ok], subject[ok]), 1)
-            part /= np.maximum(np.bincount(b.doc, minlength=b.docs), 1)[:, None]
-            i, j = np.nonzero(part >= share)
+            n_sentences = np.maximum(np.bincount(b.doc, minlength=b.docs), 1)[:, None]
+            enough = part >= np.clip(n_sentences - 2, 1, 2)  # one sentence is a passing mention but in the shortest texts
+            part /= n_sentences
+            i, j = np.nonzero(enough & (part >= share))
             yield _arrow(doc_id=batch.column("doc_id").take(pa.array(i)), subject=pa.array([subjects[k] for k in j], pa.string()), share=part[i, j])
 
     return encoded.mapInArrow(decide, schema).groupBy("doc_id", "subject").agg(F.max("share").alias("share"))
