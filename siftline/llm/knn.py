@@ -83,11 +83,11 @@ def pack_directions(df: DataFrame, id: str, vector: str, dim: int) -> DataFrame:
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     """The ordered list of nearest pivots of each row."""
     out = np.empty((len(x), length), np.int32)
-    for s in range(0, len(x), 1024):
-        d = -(x[s : s + 1024] @ pivots.T)
+    for s in range(0, len(x), 256):
+        d = -(x[s : s + 256] @ pivots.T)
         near = np.argpartition(d, length - 1, axis=1)[:, :length] if length < len(pivots) else np.tile(np.arange(len(pivots)), (len(d), 1))
         order = np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable")
-        out[s : s + 1024] = np.take_along_axis(near, order, 1)
+        out[s : s + 256] = np.take_along_axis(near, order, 1)
     return out
 
 
@@ -106,8 +106,8 @@ def footrule_agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def k_nearest_classes(
-    vectors: DataFrame, dim: int, *, drawn_from: Callable | None = None, n: int | None = None, k: int = 10, min_similarity: float = -1.0, pivots_a_root: float = 10.0, least_pivots: int = 64, most_pivots: int = 16384,
-    length: int = 3, rerank: int = 64, block: int = 8192, sample: int = 16384,
+    vectors: DataFrame, dim: int, *, drawn_from: Callable | None = None, n: int | None = None, k: int = 10, min_similarity: float = -1.0, pivots_a_root: float = 12.0, least_pivots: int = 64, most_pivots: int = 16384,
+    length: int = 4, rerank: int = 64, block: int = 8192, sample: int = 16384,
 ) -> DataFrame:
     """(a, b, similarity): up to k nearest distinct directions b of each direction a.
 

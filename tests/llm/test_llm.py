@@ -362,3 +362,28 @@ def test_queries_run(spark, name):
         pytest.skip("no test tables")
     df = queries()[name](spark, "/root/testdata/sf0.001")
     assert df.count() >= 0 and len(df.columns) >= 1
+
+
+# --- very long texts, all operators on texts ---------------------------------
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(9)
+    long = " ".join(rng.choice(WORDS) for _ in range(40_000))
+    df = spark.createDataFrame([("a", long), ("b", long + " end"), ("c", "x" * 300_000), ("d", "short text here")], "id string, text string")
+    assert rows(D.near_duplicate_pairs(*D.near_duplicate_links(df)), "id_a", "id_b") == [("a", "b")]
+    pieces = S.split_oversized(df.withColumn("chunk_size", F.lit(512)).withColumn("chunk_overlap", F.lit(16)))
+    assert pieces.where("token_count > 512").count() == 0 and pieces.where("id = 'c'").count() == 1
+    assert P.pii_findings(df.withColumn("text", F.concat("text", F.lit(" Mail x@y.example"))), []).count() == 4
+    assert C.cluster_vectors(C.text_vectors(df, "id", "text")).count() <= 4
+    counts = dict(rows(T.encode_corpus(df, out="n", count_only=True), "id", "n"))
+    assert counts["b"] == counts["a"] + 1 and counts["c"] > 1000
+
+
+def test_ties_and_clashing_columns(spark):
+    same = [("k%d" % i, [1.0, 0.0, 0.0, 1.0]) for i in range(6)]
+    df = spark.createDataFrame(same, "id string, embedding array<double>").withColumn("v", F.lit(1)).withColumn("rank", F.lit(2)).withColumn("class", F.lit(3))
+    got = K.k_nearest(df, dim=4, k=2)
+    assert rows(got.where("id = 'k0'"), "neighbour_id", "rank") == [("k1", 1), ("k2", 2)]
+    t = spark.createDataFrame([("a", "one two three"), ("b", "one two three")], "id string, text string").withColumn("words", F.lit("w")).withColumn("h", F.lit(1))
+    assert rows(D.near_duplicate_pairs(*D.near_duplicate_links(t)), "id_a", "id_b") == [("a", "b")]
