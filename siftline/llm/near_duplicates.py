@@ -332,7 +332,7 @@ BROADCAST_ROWS = 1_000_000
 
 
 def near_duplicate_links(
-    df: DataFrame, *, id: str = "id", text: str = "text", shingle: int = 5, bands: int = 14, rows: int = 2,
+    df: DataFrame, *, id: str = "id", text: str = "text", shingle: int = 5, bands: int = 17, rows: int = 2,
     least_jaccard: float = 0.3, miss: float = 0.01, least: float = 0.8, least_pairs: float = 0.5, block: int = 2048,
 ) -> tuple[DataFrame, DataFrame]:
     """(members: id, class), (links: a, b, similarity between classes).
