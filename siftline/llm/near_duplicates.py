@@ -255,7 +255,7 @@ def _bucket_pairs(block: int, least: tuple[int, ...]):
                 if not len(keys):
                     continue
                 spilled = None
-            last = int(np.searchsorted(keys, keys[-1])) if (keys[:-1] <= keys[1:]).all() else int(np.flatnonzero(keys != keys[-1])[-1]) + 1
+            last = int(np.searchsorted(keys, keys[-1]))  # entries of the last key may go on in the next batch
             runs = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             sizes = np.diff(np.r_[runs, len(keys)])
             small = np.repeat(sizes <= block, sizes)

@@ -387,3 +387,40 @@ def test_ties_and_clashing_columns(spark):
     assert rows(got.where("id = 'k0'"), "neighbour_id", "rank") == [("k1", 1), ("k2", 2)]
     t = spark.createDataFrame([("a", "one two three"), ("b", "one two three")], "id string, text string").withColumn("words", F.lit("w")).withColumn("h", F.lit(1))
     assert rows(D.near_duplicate_pairs(*D.near_duplicate_links(t)), "id_a", "id_b") == [("a", "b")]
+
+
+@pytest.fixture
+def tiny_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    yield
+    spark.conf.set(key, old)
+
+
+def test_batch_borders_change_nothing(spark, tiny_batches):
+    base = " ".join(WORDS[:60])
+    hot = [(f"h{i:03d}", f"{base} x{i} y{i}") for i in range(40)]
+    rng = random.Random(2)
+    rest = [(f"r{i:03d}", " ".join(rng.choice(WORDS) for _ in range(60))) for i in range(30)]
+    df = spark.createDataFrame(hot + rest, "id string, text string")
+    want = {(f"h{a:03d}", f"h{b:03d}") for a in range(40) for b in range(a + 1, 40)}
+    for block in (5, 16, 2048):
+        assert set(rows(D.near_duplicate_pairs(*D.near_duplicate_links(df, block=block)), "id_a", "id_b")) == want
+
+    x = vectors(120, 8)
+    v = spark.createDataFrame([(f"v{i:04d}", [float(a) for a in r]) for i, r in enumerate(x)], "id string, embedding array<double>")
+    got = {(r["id"], r["neighbour_id"]) for r in K.k_nearest(v, dim=8, k=3, min_similarity=0.8, least_pivots=6, pivots_a_root=0.1, length=6).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -1)
+    assert got == {(f"v{i:04d}", f"v{j:04d}") for i in range(120) for j in np.argsort(-s[i])[:3] if s[i, j] >= 0.8}
+
+    data = topics(120)
+    out = C.cluster_vectors(C.text_vectors(spark.createDataFrame([(i, t) for i, t, _ in data], "id string, text string"), "id", "text"))
+    of = dict(rows(out, "id", "cluster"))
+    assert len(of) == 120 and {len({of[i] for i, _, k in data if k == j}) for j in range(4)} == {1}
+
+    names = [(f"p{i}{j}", f"{g} Vomilin{c}tor", "") for i, c in enumerate("abcdefgh") for j, g in enumerate(("Clara", "Omar", "C.", "Dr Clara"))]
+    e = dict(rows(N.link_names(spark.createDataFrame(names, "id string, name string, description string"), ["Clara", "Omar"], []), "id", "entity"))
+    assert len(e) == 32 and e["p00"] == e["p02"] == e["p03"] != e["p01"]
