@@ -107,7 +107,7 @@ def footrule_agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def k_nearest_classes(
     vectors: DataFrame, dim: int, *, drawn_from: Callable | None = None, n: int | None = None, k: int = 10, min_similarity: float = -1.0, pivots_a_root: float = 12.0, least_pivots: int = 64, most_pivots: int = 16384,
-    length: int = 4, rerank: int = 64, block: int = 8192, sample: int = 16384,
+    length: int = 4, rerank: int = 256, block: int = 8192, sample: int = 16384,
 ) -> DataFrame:
     """(a, b, similarity): up to k nearest distinct directions b of each direction a.
 
