@@ -200,16 +200,27 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-9)
 
 
-def _two_means(z: np.ndarray) -> np.ndarray:
-    """One or two unit centroids of some unit vectors."""
+def _two_means(z: np.ndarray, near: float = 0.3) -> np.ndarray:
+    """One or two unit centroids of some unit vectors.
+
+    The start is a split along the main direction of spread, which two fields of a
+    subject make and a few wrong labels do not; vectors far from both centroids then
+    have no say in them.
+    """
     if len(z) < 4:
         return _unit(z.mean(axis=0, keepdims=True))
-    g = z @ z.T
-    c = z[list(np.unravel_index(g.argmin(), g.shape))]
+    centred = z - z.mean(axis=0)
+    side = (centred @ np.linalg.eigh(centred.T @ centred)[1][:, -1] > 0).astype(int)
+    c = None
     for _ in range(8):
+        inner = np.ones(len(z), bool) if c is None else (z @ c.T).max(axis=1) >= near
+        means = [z[inner & (side == h)].mean(axis=0) if (inner & (side == h)).any() else None for h in range(2)]
+        means = [m for m in means if m is not None]
+        if not means:
+            break
+        c = _unit(np.stack(means))
         side = (z @ c.T).argmax(axis=1)
-        c = np.stack([z[side == h].mean(axis=0) if (side == h).any() else c[h] for h in range(2)])
-    return _unit(c)
+    return c
 
 
 def _unlike(counts: np.ndarray, prior: np.ndarray, mass: float) -> np.ndarray:
