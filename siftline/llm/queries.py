@@ -60,7 +60,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_entities(spark: SparkSession, d: str) -> DataFrame:
-    vertices = table(spark, d, "vertex").select("id", "name", "type", "description")
+    vertices = table(spark, d, "vertex").select("id", "name", "type", "description", "aliases")
     mentions = table(spark, d, "extracted_entity").select("name", "type")
     known = vertices.select("name", "type").unionByName(mentions).select(F.trim("name").alias("name"), F.upper(F.trim("type")).alias("type")).distinct()
     common = learn_common(known.where(F.col("type").isin("ORGANIZATION", "LOCATION", "PRODUCT")).select("name", F.lit(False).alias("person")), least=5)

@@ -193,6 +193,24 @@ def test_names_of_one_entity(spark):
     assert N.name_pairs(N.link_names(df.where("false"), [], [])).count() == 0
 
 
+def test_aliases_unite_entities(spark):
+    data = [
+        ("t1", "Grabrenelvin Direct", ["Mubervorte Food Company LLC", "the company"]),
+        ("t2", "Mubervorte Food Company", None),
+        ("t3", "Kesefarin Leasing Inc.", ["the company", "our office"]),
+        ("s1", "Clara Sadibanar", ["S. Sadibanar", "our office"]),
+        ("s2", "Carlo Sadibanar", ["C. Sadibanar"]),
+        ("s3", "C. Sadibanar", []),
+        ("u1", "Omar Tuganobe", ["T. Tuganobe"]),
+        ("u2", "Clara Tuganobe", ["T. Tuganobe"]),
+        ("u3", "T. Tuganobe", ["the company"]),
+    ]
+    df = spark.createDataFrame([(i, n, "", a) for i, n, a in data], "id string, name string, description string, aliases array<string>")
+    e = dict(rows(N.link_names(df, ["Clara", "Carlo", "Omar"], ["food", "company", "leasing", "direct"]), "id", "entity"))
+    assert e["t1"] == e["t2"] and e["s2"] == e["s3"]
+    assert len(e) == 9 and len(set(e.values())) == 7
+
+
 # --- problem 5 --------------------------------------------------------------
 
 
