@@ -15,7 +15,8 @@ from labels first, then from all documents, a sentence's own assignment left out
 
 Counts, weights, decomposition and centroids cover all documents. Labels are read
 up to ``most_labels`` documents (by hash), the vocabulary up to ``most_terms``
-terms (by number of texts); both bounds are parameters.
+terms of each language group (by number of texts); both bounds are parameters.
+Rare languages are one group, so their terms have a place too.
 
 Defined results: null, empty and blank texts and texts without a clear sentence
 have no subject; one sentence among more than three is a passing mention;
@@ -34,6 +35,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from siftline.llm.near_duplicates import _arrow, _binary
 from siftline.llm.terms import WORD
@@ -45,6 +47,7 @@ MARKUP = re.compile(r"<[^<>]{1,200}>|^#.*$", re.MULTILINE)
 UNCASED = re.compile(r"\n+|(?<=[.?!])[\"'”)]?\s+")
 HAS_CASE = re.compile(r"[.?!]\s+[A-ZÀ-Þ]")
 BLOCK = 512
+POOL = "*"  # language group of all texts in rare languages
 LIGHT = 2.0
 
 
@@ -59,8 +62,12 @@ def _language(lang: object) -> str:
     return lang.strip()[:2].lower() if isinstance(lang, str) else ""
 
 
-def _vocabulary(docs: DataFrame, *, least: int = 3, most_terms: int = 20_000) -> tuple[dict[str, int], dict[str, np.ndarray], dict[str, int]]:
-    """(term numbers, texts that hold each term by language group, texts by language group)."""
+def _vocabulary(docs: DataFrame, *, least: int = 3, most_terms: int = 20_000, least_texts: int = 20, least_share: float = 0.01) -> tuple[dict[str, int], dict[str, np.ndarray], dict[str, int]]:
+    """(term numbers, texts that hold each term by language group, texts by language group).
+
+    Languages below ``least_texts`` or ``least_share`` of the texts are pooled into the
+    group ``POOL``; each group has its own ``most_terms`` terms.
+    """
 
     def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -73,15 +80,33 @@ def _vocabulary(docs: DataFrame, *, least: int = 3, most_terms: int = 20_000) ->
             yield pd.DataFrame([(g, w, n) for (g, w), n in seen.items()], columns=["g", "term", "n"])
 
     counts = materialize(docs.select("text", "lang").mapInPandas(count, "g string, term string, n bigint").groupBy("g", "term").agg(F.sum("n").alias("n")), "counts")
-    groups = {r["g"]: r["n"] for r in counts.where(F.col("term") == "").orderBy(F.desc("n"), "g").limit(200).collect()}
-    large = [g for g, n in groups.items() if n >= max(20, 0.01 * sum(groups.values()))] or list(groups)
-    top = counts.where(F.col("term") != "").groupBy("term").agg(F.sum("n").alias("all")).where(F.col("all") >= least).orderBy(F.desc("all"), "term").limit(most_terms)
-    rows = counts.where(F.col("g").isin(large)).join(top, "term").select("g", "term", "n").collect()
+    texts = counts.where(F.col("term") == "")
+    total = texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    large = [r["g"] for r in texts.where(F.col("n") >= max(least_texts, least_share * total)).orderBy(F.desc("n"), "g").collect()]  # at most 1 / least_share
+    pooled = counts.select(F.when(F.col("g").isin(large), F.col("g")).otherwise(POOL).alias("g"), "term", "n").groupBy("g", "term").agg(F.sum("n").alias("n"))
+    pooled = materialize(pooled, "pooled")
+    sizes = {r["g"]: r["n"] for r in pooled.where(F.col("term") == "").collect()}
+    groups = {g: sizes[g] for g in (*large, POOL) if g in sizes}
+    often = pooled.where(F.col("term") != "").groupBy("term").agg(F.sum("n").alias("all")).where(F.col("all") >= least).select("term")
+    rank = F.row_number().over(W.partitionBy("g").orderBy(F.desc("n"), "term"))
+    top = pooled.join(often, "term", "left_semi").withColumn("rank", rank).where(F.col("rank") <= most_terms).select("term").distinct()
+    rows = pooled.join(top, "term", "left_semi").collect()
     index = {t: i for i, t in enumerate(sorted({r["term"] for r in rows}))}
-    df = {g: np.zeros(len(index)) for g in large}
+    df = {g: np.zeros(len(index)) for g in groups}
     for r in rows:
         df[r["g"]][index[r["term"]]] = r["n"]
-    return index, df, {g: groups[g] for g in large}
+    return index, df, groups
+
+
+def _idf(df: dict[str, np.ndarray], groups: dict[str, int], least_texts: int = 20) -> np.ndarray:
+    """Least idf over the language groups; a pool of few texts speaks only for terms no other group holds."""
+    with np.errstate(divide="ignore"):
+        by = {g: np.where(df[g] > 0, np.log(groups[g] / np.maximum(df[g], 1)), np.inf) for g in groups}
+    large = [by[g] for g in groups if g != POOL]
+    if POOL not in by or not large:
+        return np.min([*by.values()], axis=0)
+    idf = np.min(large, axis=0)
+    return np.minimum(idf, by[POOL]) if groups[POOL] >= least_texts else np.where(np.isfinite(idf), idf, by[POOL])
 
 
 def _encode(docs: DataFrame, index: dict[str, int], groups: list[str]) -> DataFrame:
@@ -95,7 +120,7 @@ def _encode(docs: DataFrame, index: dict[str, int], groups: list[str]) -> DataFr
             for key, t, lang in zip(pdf["doc_id"], pdf["text"], pdf["lang"]):
                 parts = [sorted({i for w in s if (i := index.get(w, -1)) >= 0}) for s in sentences(t)]
                 if parts:
-                    rows.append((key, number.get(_language(lang), -1), [len(p) for p in parts], [i for p in parts for i in p]))
+                    rows.append((key, number.get(_language(lang), number.get(POOL, -1)), [len(p) for p in parts], [i for p in parts for i in p]))
             yield pd.DataFrame(rows, columns=["doc_id", "g", "sizes", "terms"])
 
     return docs.select("doc_id", "text", "lang").mapInPandas(encode, "doc_id bigint, g int, sizes array<int>, terms array<int>")
@@ -263,8 +288,7 @@ def document_subjects(
     for i, r in enumerate(seeds):
         allowed[i, [number[s] for s in r["subjects"]]] = 1 / len(r["subjects"])
 
-    with np.errstate(divide="ignore"):
-        idf = np.min([np.where(df[g] > 0, np.log(groups[g] / np.maximum(df[g], 1)), np.inf) for g in names], axis=0)
+    idf = _idf(df, groups)
     base = np.where(np.isfinite(idf) & (idf >= 0.7), idf, 0).astype(np.float32)
     held = np.unique(seed.doc[seed.sentence] * size + seed.term)
     by_label = np.zeros((size, n))

@@ -362,6 +362,22 @@ def test_subjects(spark):
     assert J.document_subjects(d.where("false"), lab).count() == 0
 
 
+def subject_texts(rng, pools, n, *plan):
+    """``n`` texts; sentence by sentence the pool each is about."""
+    return [" ".join(f"The {rng.choice(pools[s])} and {rng.choice(pools[s])} met {rng.choice(['alpha', 'beta', 'gamma'])} today." for s in plan) for _ in range(n)]
+
+
+def test_rare_language_has_terms(spark):
+    rng = random.Random(9)
+    pools = {s: [f"{s}{c}word" for c in "abcdefghijkl"] for s in ("law", "sport", "music")}
+    rare = {s: [f"{s}{c}sana" for c in "abcd"] for s in ("laki", "urheilu")}
+    texts = [(t, "en", s) for s in pools for t in subject_texts(rng, pools, 240, *[s] * 6)]
+    texts += [(t, "fi", s) for r, s in (("laki", "law"), ("urheilu", "sport")) for t in subject_texts(rng, rare, 3, *[r] * 6)]
+    df = spark.createDataFrame([(i, t, g) for i, (t, g, _) in enumerate(texts)], "doc_id bigint, text string, lang string")
+    index, held, groups = J._vocabulary(df, most_terms=15)
+    assert groups == {"en": 720, J.POOL: 6} and sum(t.endswith("sana") for t in index) >= 7 and len(held["en"]) == len(index) <= 30
+
+
 def test_sentences():
     assert len(J.sentences("# Head\n\nSee e.g. the file in sect. 12.4 here. It weighs approx. 3 kg. Good now?")) == 3
     assert J.sentences("") == [] and len(J.sentences("all lower case. still two sentences.")) == 2
