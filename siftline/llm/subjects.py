@@ -19,7 +19,8 @@ terms of each language group (by number of texts); both bounds are parameters.
 Rare languages are one group, so their terms have a place too.
 
 Defined results: null, empty and blank texts and texts without a clear sentence
-have no subject; one sentence among more than three is a passing mention;
+have no subject; less than ``share`` of the sentences is a passing mention; a lone sentence
+among more than three must be clearly of its subject (``lone_similarity``);
 repeated texts count each; an id repeated counts once; without
 labels there is no result; subjects need not be known beforehand.
 """
@@ -267,7 +268,7 @@ def _assign(x: np.ndarray, centroids: np.ndarray, of: np.ndarray, n: int) -> tup
 
 
 def document_subjects(
-    documents: DataFrame, labels: DataFrame, *, rank: int = 112, rounds: int = 2, refinements: int = 4, similarity: float = 0.35, share: float = 0.18, most_labels: int = 20_000, most_terms: int = 20_000,
+    documents: DataFrame, labels: DataFrame, *, rank: int = 112, rounds: int = 2, refinements: int = 4, similarity: float = 0.35, lone_similarity: float = 0.8, share: float = 0.18, most_labels: int = 20_000, most_terms: int = 20_000,
 ) -> DataFrame:
     """(doc_id, subject, share). ``documents``: doc_id, text, lang. ``labels``: doc_id, subject."""
     spark = documents.sparkSession
@@ -376,9 +377,11 @@ def document_subjects(
             part = np.zeros((b.docs, n))
             np.add.at(part, (b.doc[ok], subject[ok]), 1)
             n_sentences = np.maximum(np.bincount(b.doc, minlength=b.docs), 1)[:, None]
-            enough = part >= np.clip(n_sentences - 2, 1, 2)  # one sentence is a passing mention but in the shortest texts
+            clearest = np.zeros((b.docs, n))
+            np.maximum.at(clearest, (b.doc[ok], subject[ok]), s[ok])
+            lone = (part == 1) & (n_sentences > 3)
             part /= n_sentences
-            i, j = np.nonzero(enough & (part >= share))
+            i, j = np.nonzero((part >= share) & (~lone | (clearest >= lone_similarity)))
             yield _arrow(doc_id=batch.column("doc_id").take(pa.array(i)), subject=pa.array([subjects[k] for k in j], pa.string()), share=part[i, j])
 
     return encoded.mapInArrow(decide, schema).groupBy("doc_id", "subject").agg(F.max("share").alias("share"))

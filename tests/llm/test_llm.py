@@ -378,6 +378,20 @@ def test_rare_language_has_terms(spark):
     assert groups == {"en": 720, J.POOL: 6} and sum(t.endswith("sana") for t in index) >= 7 and len(held["en"]) == len(index) <= 30
 
 
+def test_a_fifth_of_a_short_text_is_a_case(spark):
+    rng = random.Random(10)
+    pools = {s: [f"{s}{c}{e}word" for c in "abcdefgh" for e in "aeiou"] for s in ("law", "sport", "music")}
+    texts = [t for s in pools for t in subject_texts(rng, pools, 80, *[s] * 6)]
+    texts += subject_texts(rng, pools, 5, "law", "law", "sport", "law") + subject_texts(rng, pools, 5, "law", "music", "law", "law", "law") + subject_texts(rng, pools, 5, *["law"] * 6, "sport")
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    lab = spark.createDataFrame([(i, s) for k, s in enumerate(pools) for i in range(80 * k, 80 * k + 20)], "doc_id bigint, subject string")
+    got = {}
+    for r in J.document_subjects(df, lab, rank=3).collect():
+        got.setdefault(r["doc_id"], set()).add(r["subject"])
+    assert sum("sport" in got.get(i, ()) for i in range(240, 245)) >= 3 and sum("music" in got.get(i, ()) for i in range(245, 250)) >= 3
+    assert not any("sport" in got.get(i, ()) for i in range(250, 255))
+
+
 def test_sentences():
     assert len(J.sentences("# Head\n\nSee e.g. the file in sect. 12.4 here. It weighs approx. 3 kg. Good now?")) == 3
     assert J.sentences("") == [] and len(J.sentences("all lower case. still two sentences.")) == 2
