@@ -257,7 +257,12 @@ def cell_clusters(vectors: DataFrame, threshold: float, *, pivots_a_root: float
 
 
 def cluster_vectors(vectors: DataFrame, *, threshold: float = 0.14, neighbours: int = 24, centres: int = 4096, least_share: float = 0.0, finish_edges: int = 500_000) -> DataFrame:
-    """(id, cluster, similarity): similarity to the centre. ``vectors``: id, v; written and read again."""
+    """(id, cluster, similarity): similarity to the nearest large centre. ``vectors``: id, v; written and read again.
+
+    Clusters below ``least_share`` of the records are not dissolved: a record of one
+    goes to the nearest larger cluster only if the linkage would have it, that is, if
+    its mean similarity to the members there reaches ``threshold``.
+    """
     vectors = materialize(vectors.dropDuplicates(["id"]), "vectors")
     cells = materialize(cell_clusters(vectors, threshold), "cells")
     nodes = cells.where(F.col("id").isNull()).select("node", "weight", "sum")
@@ -282,23 +287,26 @@ def cluster_vectors(vectors: DataFrame, *, threshold: float = 0.14, neighbours:
     top = large or top
     names = [r["cluster"] for r in top]
     c = np.stack([np.frombuffer(r["sum"], "<f4") for r in top]) if top else np.zeros((0, WIDTH), np.float32)
-    c = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
-    shared = vectors.sparkSession.sparkContext.broadcast((names, c))  # at most ``centres`` rows
+    length = np.linalg.norm(c, axis=1)
+    c = c / np.maximum(length[:, None], 1e-9)
+    tight = length / np.array([r["weight"] for r in top], float)  # similarity to the centre times this is the mean over the members
+    shared = vectors.sparkSession.sparkContext.broadcast((names, c, tight))  # at most ``centres`` rows
 
     def nearest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, c = shared.value
+        names, c, tight = shared.value
         who = pa.array(names, pa.string())
         for batch in it:
             if not batch.num_rows or not len(names):
                 continue
             s = _unpack8(_matrix(batch.column(1), WIDTH)) @ c.T
             best = s.argmax(axis=1)
-            yield _arrow(id=batch.column(0), nearest=who.take(pa.array(best)), similarity=s.max(axis=1).astype(np.float64))
+            top = s.max(axis=1).astype(np.float64)
+            yield _arrow(id=batch.column(0), nearest=who.take(pa.array(best)), similarity=top, fits=top * tight[best] >= threshold)
 
     known = vectors.sparkSession.createDataFrame([(x, True) for x in names], "cluster string, known boolean")
     own = cells.where(F.col("id").isNotNull()).select("id", "node").join(label, "node").join(F.broadcast(known), "cluster", "left")
-    found = vectors.select("id", "v").mapInArrow(nearest, "id string, nearest string, similarity double")
-    return found.join(own, "id").select("id", F.when(F.col("known") | F.lit(bool(large) and least_share > 0), F.col("nearest")).otherwise(F.col("cluster")).alias("cluster"), "similarity")
+    found = vectors.select("id", "v").mapInArrow(nearest, "id string, nearest string, similarity double, fits boolean")
+    return found.join(own, "id").select("id", F.when(F.col("known") | (F.lit(bool(large) and least_share > 0) & F.col("fits")), F.col("nearest")).otherwise(F.col("cluster")).alias("cluster"), "similarity")
 
 
 def number_clusters(assigned: DataFrame) -> DataFrame:

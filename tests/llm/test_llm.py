@@ -145,6 +145,16 @@ def test_clusters_find_topics(spark):
     assert C.cluster_vectors(C.text_vectors(df.where("false"), "id", "text")).count() == 0
 
 
+def test_small_matters_stay_apart(spark):
+    data = topics()
+    rng = random.Random(4)
+    small = [(f"z{i}", " ".join(rng.choice([f"kleine{c}sache" for c in "abcdefghij"]) for _ in range(30))) for i in range(6)]
+    df = spark.createDataFrame([(i, t) for i, t, _ in data] + small, "id string, text string")
+    of = dict(rows(C.cluster_vectors(C.text_vectors(df, "id", "text"), least_share=0.05), "id", "cluster"))
+    assert len({of[i] for i, _ in small}) == 1 and of["z0"] not in {of[i] for i, *_ in data}
+    assert {len({of[i] for i, _, k in data if k == j}) for j in range(4)} == {1}
+
+
 def test_rounds_agree(spark):
     rng = np.random.default_rng(4)
     x = np.repeat(np.eye(8, 128), 5, axis=0) + 0.05 * rng.normal(size=(40, 128))
