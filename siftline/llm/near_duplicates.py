@@ -91,7 +91,13 @@ def signatures(texts: list[str], size: int, common: np.ndarray, n: int = HASHES)
     most two fifths, so wording patterns alone make no candidates; a text made of
     them keeps them all.
     """
+    return both_signatures(texts, size, common, n)[0]
+
+
+def both_signatures(texts: list[str], size: int, common: np.ndarray, n: int = HASHES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures, index of the texts that had shingles passed over, their signatures of all shingles)."""
     h, counts = shingles(texts, size)
+    whole, every = h, counts
     cut = np.cumsum(counts) - counts
     if len(common):
         usual = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
@@ -99,8 +105,17 @@ def signatures(texts: list[str], size: int, common: np.ndarray, n: int = HASHES)
         keep = ~usual | np.repeat(share > 0.4, counts)
         counts = np.add.reduceat(keep.astype(np.int64), cut)
         h, cut = h[keep], np.cumsum(counts) - counts
+    out = _least_hashes(h, cut, n)
+    thinned = np.flatnonzero(counts < every)
+    if not len(thinned):
+        return out, thinned, out[:0]
+    part = whole[np.repeat(counts < every, every)]
+    return out, thinned, _least_hashes(part, np.cumsum(every[thinned]) - every[thinned], n)
+
+
+def _least_hashes(h: np.ndarray, cut: np.ndarray, n: int) -> np.ndarray:
     a, b = _coefficients(n)
-    out = np.empty((len(texts), n), np.uint32)
+    out = np.empty((len(cut), n), np.uint32)
     for k in range(n):
         out[:, k] = np.minimum.reduceat(((h * a[k] + b[k]) >> np.uint64(32)).astype(np.uint32), cut)
     return out
@@ -222,16 +237,18 @@ def _bucket_pairs(block: int, least: tuple[int, ...]):
         spilled: tuple[int, int] | None = None  # key above the block size, and its entries so far
 
         def solve(keys, hs, sk) -> Iterator[pa.RecordBatch]:
-            order = np.lexsort((hs, keys))
-            keys, hs, sk = keys[order], hs[order], sk[order]
+            form = np.ascontiguousarray(sk).view(np.int64)[:, 0]  # a text may stand under a key with two signatures
+            order = np.lexsort((form, hs, keys))
+            keys, hs, sk, form = keys[order], hs[order], sk[order], form[order]
             new = np.ones(len(keys), bool)
-            new[1:] = (keys[1:] != keys[:-1]) | (hs[1:] != hs[:-1])
+            new[1:] = (keys[1:] != keys[:-1]) | (hs[1:] != hs[:-1]) | (form[1:] != form[:-1])
             keys, hs, sk = keys[new], hs[new], sk[new]
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             sizes = np.diff(np.r_[starts, len(keys)])
             found = set()
             for a, b in _pairs_by_size(starts, sizes):
                 a, b = surviving(sk, a, b, least)
+                a, b = a[hs[a] != hs[b]], b[hs[a] != hs[b]]
                 found.update(zip(hs[a].tolist(), hs[b].tolist()))
             if found:
                 x = np.array(sorted(found), np.int64)
@@ -286,7 +303,9 @@ def candidate_links(texts: DataFrame, *, shingle: int, bands: int, rows: int, le
             h, first = np.unique(h, return_index=True)  # copies within a batch are posted once
             if not len(h):
                 continue
-            sig = signatures(batch.column(1).take(pa.array(first)).to_pylist(), shingle, shared.value)
+            # a text with shingles passed over is posted with all of them too: copies of a passage hold it whole
+            sig, thinned, whole = both_signatures(batch.column(1).take(pa.array(first)).to_pylist(), shingle, shared.value)
+            h, sig = np.concatenate([h, h[thinned]]), np.concatenate([sig, whole])
             s = sketch(sig)
             keys = []
             for b in range(bands):
@@ -310,7 +329,7 @@ def candidate_links(texts: DataFrame, *, shingle: int, bands: int, rows: int, le
     laid = laid.select("key", "h", "sketch", "part", F.least("part", "with").alias("lo"), F.greatest("part", "with").alias("hi"))
 
     def cross(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("h")
+        pdf = pdf.drop_duplicates(["h", "sketch"])
         s = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
         h, lo = pdf["h"].to_numpy(), (pdf["part"] == pdf["lo"]).to_numpy()
         same = pdf["lo"].iloc[0] == pdf["hi"].iloc[0]

@@ -118,6 +118,20 @@ def test_near_duplicates_large_buckets_and_empty(spark):
     assert D.near_duplicate_pairs(*D.near_duplicate_links(df.where("false"))).count() == 0
 
 
+def test_variant_of_a_hot_passage_is_found(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    base = [word() for _ in range(120)]
+    variants = {f"v{k}": " ".join(word() if i % 20 in (0, 7, 9, 10) else w for i, w in enumerate(base)) for k in range(6)}
+    texts = [(f"hot{i:03d}", " ".join(base)) for i in range(60)] + [(f"x{i:03d}", " ".join(word() for _ in range(60))) for i in range(200)]
+    texts += variants.items()
+    sig, thinned, whole = D.both_signatures([variants["v0"], " ".join(base)], 5, np.sort(np.unique(D.shingles([" ".join(base)], 5)[0])))
+    assert list(thinned) == [0] and (sig[0] == sig[1]).sum() == 0 and (whole[0] == sig[1]).sum() > 0
+    df = spark.createDataFrame(texts, "id string, text string")
+    got = set(rows(D.near_duplicate_pairs(*D.near_duplicate_links(df, bands=32, least_jaccard=0.1)), "id_a", "id_b"))
+    assert sum(("hot000", v) in got for v in variants) >= 3
+
+
 def test_pruning_bounds():
     least = D.least_matches(0.3, 0.01)
     assert len(least) == 4 and list(least) == sorted(least)
