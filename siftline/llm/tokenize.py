@@ -68,18 +68,29 @@ def encode_run(enc, run: str, leaf_chars: int) -> list[int]:
 
 
 def _segments(text: str, run_chars: int, block_chars: int) -> Iterator[tuple[bool, str]]:
-    """(is a long run, text) in order; cuts lie between pre-tokens only."""
+    """(is one pre-token, text) in order; cuts lie between pre-tokens only.
+
+    The pattern looks ahead from white space, so a part that is split again never
+    ends in it: cuts wait for the next pre-token after a word, and white space before
+    a long run stands alone, one pre-token at a time.
+    """
     start = last = 0
+    blanks: list[tuple[int, int]] = []  # white-space pre-tokens since the last word
     for m in regex.finditer(PATTERN, text):
         s, e = m.span()
         if e - s > run_chars:
-            if s > start:
-                yield False, text[start:s]
+            word_end = blanks[0][0] if blanks else s
+            if word_end > start:
+                yield False, text[start:word_end]
+            for x, y in blanks:
+                yield True, text[x:y]
             yield True, text[s:e]
-            start = e
-        elif s - start >= block_chars:
-            yield False, text[start:s]
-            start = s
+            start, blanks = e, []
+        else:
+            if s - start >= block_chars and not blanks:
+                yield False, text[start:s]
+                start = s
+            blanks = [*blanks, (s, e)] if text[s:e].isspace() else []
         last = e
     if last > start:
         yield False, text[start:last]

@@ -322,6 +322,15 @@ def test_tree_concatenation(reference_tokenizer):
         assert T.encode_run(enc, run, 64) == want == reference_tokenizer(run) or len(run) > 4000
 
 
+def test_segments_keep_the_split():
+    enc = T.encoder(T.vocabulary_path())
+    for text in ("abc.\n\nbar " * 30, "word \n\n  \tnext" * 30, "a\n\n" + "x" * 50 + "  \n" + "y" * 50 + "\n\n", " " * 60 + "end\n\nof", "a  b" * 40, "\n\n" + "z" * 50):
+        for block in range(1, 25):
+            parts = list(T._segments(text, 20, block))
+            ids = [i for run, p in parts for i in (enc._encode_single_piece(p) if run else enc.encode_ordinary(p))]
+            assert "".join(p for _, p in parts) == text and ids == enc.encode_ordinary(text)
+
+
 def test_encode_corpus(spark, reference_tokenizer):
     rng = random.Random(4)
     texts = ["Hello  world\n\n it's", "<|endoftext|> x", None, "", " \t\r\n", "é ​ 🙂🙂 中文", "x" * 5000 + " end", "".join(rng.choice("ab c\n1.") for _ in range(4000)), "á " * 50]
