@@ -251,7 +251,7 @@ def clu4_renumber(spark, d):
 
 @query()
 def clu3_choose_k(spark, d):
-    return clusters.choose_k(embeddings(spark, d).select("id", F.col("v").cast("array<double>").alias("v")), most=4)
+    return clusters.choose_k(embeddings(spark, d).select("id", F.col("v").cast("array<double>").alias("v")), most=12, restarts=10)
 
 
 @query("select label as cluster_id, count(*) as size, left(sha256(string_agg(vec_id::varchar, chr(10) order by vec_id::varchar)), 16) as member_hash from embeddings group by 1")

@@ -80,6 +80,16 @@ def test_clusters(spark):
     assert clusters.principal_plane(df).count() == 12
 
 
+def test_choose_k_is_registered_with_its_whole_range(spark, monkeypatch):
+    from siftline.plans import retrieval
+
+    seen = {}
+    monkeypatch.setattr(retrieval, "embeddings", lambda s, d: s.createDataFrame([(1, [1.0])], "id int, v array<double>"))
+    monkeypatch.setattr(retrieval.clusters, "choose_k", lambda vectors, **given: seen.update(given) or vectors)
+    retrieval.clu3_choose_k(spark, "")
+    assert seen == {"most": 12, "restarts": 10}
+
+
 def test_graph(spark):
     m = spark.createDataFrame([(1, "Knowledge Graph", "OTHER", "", "c1"), (2, "the knowledge graph", "CONCEPT", "a store", "c2"), (3, "Fusion", None, None, "c3")], "seq int, name string, type string, description string, chunk_id string")
     got = {r["key"]: (r["name"], r["type"], r["description"], r["chunks"]) for r in graph.merge_entities(m).collect()}
