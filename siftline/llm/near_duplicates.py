@@ -1,12 +1,13 @@
 """Near-duplicate records with small edits (problem 2).
 
 Texts are folded to words (case, spacing, list marks and punctuation do not
-count) and equal ones become one class. MinHash signatures of word shingles are
-banded; texts that share a band are candidates and are compared where they meet,
-by the short form of their signatures in batches: after each batch a candidate is
-dropped if the posterior probability that its Jaccard similarity reaches
-``least_jaccard`` has fallen below ``miss``. Survivors are verified exactly on
-their words. Linked classes form groups by connected components.
+count) and equal ones become one class, of which one row goes on. MinHash values of
+word shingles make band keys, which go on while their shingles are usual ones; texts
+that share a key are candidates and are compared where they meet, by a second
+signature, of word pairs, in batches: after each batch a candidate is dropped if the
+posterior probability that its Jaccard similarity reaches ``least_jaccard`` has
+fallen below ``miss``. Survivors are verified exactly on their words. Linked classes
+form groups by connected components.
 
 A band key with more than ``block`` texts is not cut: its texts are laid out in
 blocks and every pair of blocks is compared under a key of its own.
@@ -18,8 +19,8 @@ share of words to be replaced, inserted or deleted when sentences may move freel
 no link.
 
 Defined results: null texts and texts without a word take no part; identical texts
-have similarity 1; ids repeated with the same text count once; texts of fewer
-words than a shingle are one shingle.
+have similarity 1; ids repeated with the same text count once; of an id with several
+texts all take part; texts of fewer words than a shingle are one shingle.
 """
 
 from __future__ import annotations
@@ -35,11 +36,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.llm.blocks import SCHEMA, block_rows, n_tasks, sum_blocks
 from siftline.llm.components import connected_components, pairs_of_groups
 from siftline.sources.shared import materialize
 
-HASHES, BATCH = 64, 16  # 64 hashes of 4 bits are compared 16 at a time
-NIBBLES = np.array([(b >> 4 == 0) + (b & 15 == 0) for b in range(256)], np.uint8)
+HASHES, BATCH = 48, 16  # 48 hashes of 4 bits are compared 16, one word of 64 bits, at a time
+SKETCH = HASHES // 2  # bytes
+SLOT_BITS = 20  # of the counters of shingles
+POSTS_A_TASK = 2_000_000
 
 
 def fold_words(text: Column) -> Column:
@@ -47,10 +51,10 @@ def fold_words(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+", " "))
 
 
-@lru_cache(maxsize=4)
-def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.Generator(np.random.PCG64(20240229))
-    return rng.integers(1, 2**63, n, np.uint64) | np.uint64(1), rng.integers(0, 2**63, n, np.uint64)
+@lru_cache(maxsize=512)
+def _coefficients(k: int) -> tuple[np.uint64, np.uint64]:
+    rng = np.random.Generator(np.random.PCG64([20240229, k]))
+    return rng.integers(1, 2**63, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**63, dtype=np.uint64)
 
 
 _word_ids: dict[str, int] = {}
@@ -84,70 +88,82 @@ def shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.add.reduceat(fits.astype(np.int64), starts)
 
 
-def signatures(texts: list[str], size: int, common: np.ndarray, n: int = HASHES) -> np.ndarray:
-    """MinHash values, uint32 of shape (texts, n).
-
-    ``common`` shingles (sorted) are passed over in texts of which they make up at
-    most two fifths, so wording patterns alone make no candidates; a text made of
-    them keeps them all.
-    """
-    return both_signatures(texts, size, common, n)[0]
+def _hashed(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of a family of hashes, 32 bits."""
+    a, b = _coefficients(k)
+    x = h * a + b
+    x ^= x >> np.uint64(29)
+    return (x * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)
 
 
-def both_signatures(texts: list[str], size: int, common: np.ndarray, n: int = HASHES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signatures, index of the texts that had shingles passed over, their signatures of all shingles)."""
-    h, counts = shingles(texts, size)
-    whole, every = h, counts
-    cut = np.cumsum(counts) - counts
-    if len(common):
-        usual = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
-        share = np.add.reduceat(usual.astype(np.int64), cut) / counts
-        keep = ~usual | np.repeat(share > 0.4, counts)
-        counts = np.add.reduceat(keep.astype(np.int64), cut)
-        h, cut = h[keep], np.cumsum(counts) - counts
-    out = _least_hashes(h, cut, n)
-    thinned = np.flatnonzero(counts < every)
-    if not len(thinned):
-        return out, thinned, out[:0]
-    part = whole[np.repeat(counts < every, every)]
-    return out, thinned, _least_hashes(part, np.cumsum(every[thinned]) - every[thinned], n)
-
-
-def _least_hashes(h: np.ndarray, cut: np.ndarray, n: int) -> np.ndarray:
-    a, b = _coefficients(n)
-    out = np.empty((len(cut), n), np.uint32)
-    for k in range(n):
-        out[:, k] = np.minimum.reduceat(((h * a[k] + b[k]) >> np.uint64(32)).astype(np.uint32), cut)
-    return out
+def shingle_slots(h: np.ndarray) -> np.ndarray:
+    """The counter of each shingle."""
+    return ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def common_shingles(texts: DataFrame, size: int, *, share: float = 0.002, most: int = 200_000) -> np.ndarray:
-    """Sorted hashes of the shingles that at least ``share`` of all texts hold.
+def usual_shingles(texts: DataFrame, size: int, n: int, *, share: float = 0.001, least: int = 16) -> np.ndarray:
+    """For each counter whether its shingles are usual: counted ``share`` times the number of texts, and ``least`` times.
 
-    Counted over all texts. A shingle that reaches the share overall reaches half
-    of it in some Arrow batch or is counted in none; batches leave out what is
-    rarer there, so what is sent stays a small multiple of the result. At most
-    ``most`` (they are at most words a text / share) reach the driver.
+    All shingles of all texts are counted in 2 ** SLOT_BITS counters, so neither the
+    layout of files nor a bound on their number decides. Shingles that share a counter
+    share its verdict, in every text alike.
     """
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLOT_BITS, np.int64)
         for batch in it:
-            if not batch.num_rows:
-                continue
-            h, counts = shingles(batch.column(0).to_pylist(), size)
-            found, n = np.unique(h, return_counts=True)
-            keep = n >= max(2, share / 2 * batch.num_rows)
-            yield _arrow(shingle=found[keep].view(np.int64), n=n[keep].astype(np.int64))
+            if batch.num_rows:
+                total += np.bincount(shingle_slots(shingles(batch.column(0).to_pylist(), size)[0]), minlength=len(total))
+        yield block_rows(total.astype("<i8"), 8192)
+
+    rows = texts.select("words")
+    seen = sum_blocks(rows.mapInArrow(count, SCHEMA), "<i8", 8192, 1 << SLOT_BITS, n_tasks(rows))
+    return seen >= max(least, share * n)
+
 
-    rows = texts.select("words").mapInArrow(count, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
-    kept = rows.where(F.col("n") >= texts.count() * share).orderBy(F.desc("n"), "shingle").limit(most).collect()
-    return np.sort(np.array([r["shingle"] for r in kept], np.int64).view(np.uint64))
+def band_keys(texts: list[str], size: int, usual: np.ndarray, bands: int, *, depth: int = 3, weight: float = 0.3) -> np.ndarray:
+    """Keys of shape (bands, texts).
 
+    A key is the least shingle of a text under the hash of the band; in every other band
+    usual shingles come in with ``weight`` (their hashes are divided by it). Where the
+    least one is usual, the key goes on with the least under a further hash, up to
+    ``depth``. All of it depends on the shingle alone, so two texts go the same way as
+    far as they agree. Weighted bands find edited copies with fewer chance meetings, the
+    others variants of a passage that is in so many texts that all of it is usual.
+    """
+    h, counts = shingles(texts, size)
+    start = np.cumsum(counts) - counts
+    common = usual[shingle_slots(h)]
+    out = np.empty((bands, len(counts)), np.uint64)
+    for b in range(bands):
+        out[b] = b + 1
+        hh, com, cut, who, per = h, common, start, np.arange(len(counts)), counts
+        for d in range(depth):
+            v = _hashed(hh, 64 + b * depth + d)
+            if b % 2:
+                v = np.where(com, (v / weight).astype(np.uint64), v)
+            least = np.minimum.reduceat((v << np.uint64(1)) | com, cut)
+            key = (out[b, who] ^ least) * np.uint64(0x9E3779B97F4A7C15)
+            out[b, who] = key ^ (key >> np.uint64(29))
+            more = (least & np.uint64(1)) == 1
+            if not more.any() or d + 1 == depth:
+                break
+            keep = np.repeat(more, per)
+            hh, com, who, per = hh[keep], com[keep], who[more], per[more]
+            cut = np.cumsum(per) - per
+    return out
 
-def sketch(sig: np.ndarray) -> np.ndarray:
-    """Four bits of each hash, two hashes a byte."""
-    low = ((sig ^ (sig >> np.uint32(11)) ^ (sig >> np.uint32(19))) & np.uint32(15)).astype(np.uint8)
-    return (low[:, 0::2] << 4) | low[:, 1::2]
+
+def sketches(texts: list[str]) -> np.ndarray:
+    """MinHash of word pairs, 4 bits a hash, uint64 of shape (HASHES / BATCH, texts)."""
+    h, counts = shingles(texts, 2)
+    cut = np.cumsum(counts) - counts
+    out = np.zeros((HASHES // BATCH, len(counts)), np.uint64)
+    for k in range(HASHES):
+        least = np.minimum.reduceat(_hashed(h, k), cut)
+        least ^= (least >> np.uint64(11)) ^ (least >> np.uint64(19))
+        out[k // BATCH] |= (least & np.uint64(15)) << np.uint64(4 * (k % BATCH))
+    return out
 
 
 @lru_cache(maxsize=8)
@@ -167,12 +183,13 @@ def least_matches(least_jaccard: float, miss: float) -> tuple[int, ...]:
 
 
 def surviving(s: np.ndarray, a: np.ndarray, b: np.ndarray, least: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """The index pairs that no batch prunes."""
-    matches = np.zeros(len(a), np.int32)
-    width = BATCH // 2
+    """The index pairs that no batch prunes. ``s``: rows of sketches, one word a batch."""
+    matches = np.zeros(len(a), np.int16)
     for k, need in enumerate(least):
-        x = s[a, k * width : (k + 1) * width] ^ s[b, k * width : (k + 1) * width]
-        matches += NIBBLES[x].sum(axis=1, dtype=np.int32)
+        x = s[k][a] ^ s[k][b]
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        matches += np.int16(BATCH) - np.bitwise_count(x & np.uint64(0x1111111111111111)).astype(np.int16)
         keep = matches >= need
         a, b, matches = a[keep], b[keep], matches[keep]
     return a, b
@@ -224,34 +241,25 @@ def _pairs_by_size(starts: np.ndarray, sizes: np.ndarray, most: int = 2_000_000)
 
 
 def _bucket_pairs(block: int, least: tuple[int, ...]):
-    """Partitions sorted by key -> (key, h, sketch, part, other).
+    """Partitions sorted by key and h -> (key, h, sketch, part, other).
 
     ``part`` -1: a surviving pair (h, other). Else: an entry of a key above
-    ``block``, to be met in blocks. Memory holds one batch and one block.
+    ``block``, to be met in blocks. A text under a key counts once. Memory holds one
+    batch and one block.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = HASHES // 2
-        no = np.zeros((0, width), np.uint8)
-        keys, hs, sk = np.zeros(0, np.int64), np.zeros(0, np.int64), no
-        spilled: tuple[int, int] | None = None  # key above the block size, and its entries so far
+        no = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, SKETCH), np.uint8))
+        keys, hs, sk = no
+        spilled: tuple[int, int, int] | None = None  # key above the block size, its entries so far, the last of them
 
         def solve(keys, hs, sk) -> Iterator[pa.RecordBatch]:
-            form = np.ascontiguousarray(sk).view(np.int64)[:, 0]  # a text may stand under a key with two signatures
-            order = np.lexsort((form, hs, keys))
-            keys, hs, sk, form = keys[order], hs[order], sk[order], form[order]
-            new = np.ones(len(keys), bool)
-            new[1:] = (keys[1:] != keys[:-1]) | (hs[1:] != hs[:-1]) | (form[1:] != form[:-1])
-            keys, hs, sk = keys[new], hs[new], sk[new]
+            s = np.ascontiguousarray(np.ascontiguousarray(sk).view(np.uint64).T)
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             sizes = np.diff(np.r_[starts, len(keys)])
-            found = set()
-            for a, b in _pairs_by_size(starts, sizes):
-                a, b = surviving(sk, a, b, least)
-                a, b = a[hs[a] != hs[b]], b[hs[a] != hs[b]]
-                found.update(zip(hs[a].tolist(), hs[b].tolist()))
+            found = [np.stack([hs[a], hs[b]], axis=1) for a, b in (surviving(s, a, b, least) for a, b in _pairs_by_size(starts, sizes)) if len(a)]
             if found:
-                x = np.array(sorted(found), np.int64)
+                x = np.unique(np.concatenate(found), axis=0)
                 yield _arrow(key=np.zeros(len(x), np.int64), h=x[:, 0], sketch=pa.array([None] * len(x), pa.binary()), part=np.full(len(x), -1, np.int32), other=x[:, 1])
 
         def spill(keys, hs, sk, begin: int) -> pa.RecordBatch:
@@ -262,12 +270,14 @@ def _bucket_pairs(block: int, least: tuple[int, ...]):
                 continue
             keys = np.concatenate([keys, batch.column(0).to_numpy()])
             hs = np.concatenate([hs, batch.column(1).to_numpy()])
-            sk = np.concatenate([sk, _matrix(batch.column(2), width)])
+            sk = np.concatenate([sk, _matrix(batch.column(2), SKETCH)])
+            new = np.r_[spilled is None or (int(keys[0]), int(hs[0])) != spilled[::2], (keys[1:] != keys[:-1]) | (hs[1:] != hs[:-1])]
+            keys, hs, sk = keys[new], hs[new], sk[new]
             if spilled:
                 n = int((keys == spilled[0]).sum())
                 if n:
                     yield spill(keys[:n], hs[:n], sk[:n], spilled[1])
-                    spilled = (spilled[0], spilled[1] + n)
+                    spilled = (spilled[0], spilled[1] + n, int(hs[n - 1]))
                     keys, hs, sk = keys[n:], hs[n:], sk[n:]
                 if not len(keys):
                     continue
@@ -285,41 +295,33 @@ def _bucket_pairs(block: int, least: tuple[int, ...]):
             keys, hs, sk = keys[last:], hs[last:], sk[last:]
             if len(keys) > block:
                 yield spill(keys, hs, sk, 0)
-                spilled = (int(keys[0]), len(keys))
-                keys, hs, sk = keys[:0], hs[:0], no
+                spilled = (int(keys[0]), len(keys), int(hs[-1]))
+                keys, hs, sk = no
         if len(keys):
             yield from solve(keys, hs, sk)
 
     return run
 
 
-def candidate_links(texts: DataFrame, *, shingle: int, bands: int, rows: int, least_jaccard: float, miss: float, block: int) -> DataFrame:
-    """(a, b): hashes of distinct texts whose similarity no batch ruled out. ``texts``: h, words."""
-    shared = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, shingle))
+def candidate_links(texts: DataFrame, n: int, *, shingle: int, bands: int, least_jaccard: float, miss: float, block: int) -> DataFrame:
+    """(a, b): hashes of distinct texts whose similarity no batch ruled out. ``texts``: h, words, one row for each of ``n`` texts."""
+    shared = texts.sparkSession.sparkContext.broadcast(usual_shingles(texts, shingle, n))
 
     def post(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            h = batch.column(0).to_numpy()
-            h, first = np.unique(h, return_index=True)  # copies within a batch are posted once
+            h, first = np.unique(batch.column(0).to_numpy(), return_index=True)
             if not len(h):
                 continue
-            # a text with shingles passed over is posted with all of them too: copies of a passage hold it whole
-            sig, thinned, whole = both_signatures(batch.column(1).take(pa.array(first)).to_pylist(), shingle, shared.value)
-            h, sig = np.concatenate([h, h[thinned]]), np.concatenate([sig, whole])
-            s = sketch(sig)
-            keys = []
-            for b in range(bands):
-                k = np.full(len(h), b + 1, np.uint64)
-                for r in range(rows):
-                    k = (k ^ sig[:, b * rows + r].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-                    k ^= k >> np.uint64(29)
-                keys.append(k.view(np.int64))
-            yield _arrow(key=np.concatenate(keys), h=np.tile(h, bands), sketch=_binary(np.tile(s, (bands, 1))))
+            rows = batch.column(1).take(pa.array(first)).to_pylist()
+            keys = band_keys(rows, shingle, shared.value, bands)
+            s = np.ascontiguousarray(sketches(rows).T).view(np.uint8).reshape(len(h), SKETCH)
+            yield _arrow(key=keys.ravel().view(np.int64), h=np.tile(h, bands), sketch=_binary(np.tile(s, (bands, 1))))
 
     posts = texts.select("h", "words").mapInArrow(post, "key bigint, h bigint, sketch binary")
     least = least_matches(least_jaccard, miss)
     schema = "key bigint, h bigint, sketch binary, part int, other bigint"
-    met = materialize(posts.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_pairs(block, least), schema), "met")
+    tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * bands // POSTS_A_TASK))
+    met = materialize(posts.repartition(tasks, "key").sortWithinPartitions("key", "h").mapInArrow(_bucket_pairs(block, least), schema), "met")
     pairs = met.where(F.col("part") < 0).select(F.col("h").alias("a"), F.col("other").alias("b"))
 
     # keys above the block size: every pair of blocks under its own key
@@ -329,8 +331,7 @@ def candidate_links(texts: DataFrame, *, shingle: int, bands: int, rows: int, le
     laid = laid.select("key", "h", "sketch", "part", F.least("part", "with").alias("lo"), F.greatest("part", "with").alias("hi"))
 
     def cross(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["h", "sketch"])
-        s = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
+        s = np.ascontiguousarray(np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), -1).T)
         h, lo = pdf["h"].to_numpy(), (pdf["part"] == pdf["lo"]).to_numpy()
         same = pdf["lo"].iloc[0] == pdf["hi"].iloc[0]
         left, right = (np.arange(len(h)),) * 2 if same else (np.flatnonzero(lo), np.flatnonzero(~lo))
@@ -351,22 +352,28 @@ BROADCAST_ROWS = 1_000_000
 
 
 def near_duplicate_links(
-    df: DataFrame, *, id: str = "id", text: str = "text", shingle: int = 5, bands: int = 17, rows: int = 2,
-    least_jaccard: float = 0.3, miss: float = 0.01, least: float = 0.8, least_pairs: float = 0.5, block: int = 2048,
+    df: DataFrame, *, id: str = "id", text: str = "text", shingle: int = 3, bands: int = 18,
+    least_jaccard: float = 0.38, miss: float = 0.01, least: float = 0.8, least_pairs: float = 0.5, block: int = 2048,
 ) -> tuple[DataFrame, DataFrame]:
     """(members: id, class), (links: a, b, similarity between classes).
 
-    Defaults are for edits of up to a fifth of the words, which leave a Jaccard
-    similarity of five-word shingles of about 0.3; for plain near-copies pass
-    least_jaccard=0.8.
+    Defaults are for edits of up to a fifth of the words. Spread evenly, those leave no
+    five-word shingle, two fifths of the three-word shingles, and three fifths of the
+    word pairs, which is a Jaccard similarity of 0.43. For plain near-copies pass
+    shingle=5, least_jaccard=0.8.
     """
     folded = df.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), fold_words(F.col(text)).alias("words")).where(F.col("words") != "")
     keyed = materialize(folded.select("id", F.unhex(F.md5("words")).alias("class"), F.xxhash64("words").alias("h"), "words"), "folded")
     members = keyed.select("id", "class").distinct()
-    pairs = materialize(candidate_links(keyed.select("h", "words"), shingle=shingle, bands=bands, rows=rows, least_jaccard=least_jaccard, miss=miss, block=block), "pairs")
+    # of equal texts the row of the least id stands for all from here on
+    copies = members.groupBy("class").agg(F.min("id").alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
+    spare = materialize(members.join(copies, "class").where(F.col("id") != F.col("first")).select("id", "class"), "spare")
+    distinct = keyed.join(F.broadcast(spare) if spare.count() <= BROADCAST_ROWS else spare, ["id", "class"], "left_anti")
+    n = keyed.count() - spare.count()
+    pairs = materialize(candidate_links(distinct.select("h", "words"), n, shingle=shingle, bands=bands, least_jaccard=least_jaccard, miss=miss, block=block), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     few = pairs.count() * 2 <= BROADCAST_ROWS
-    texts = keyed.select("h", "class", "words").join(F.broadcast(wanted) if few else wanted, "h", "left_semi").dropDuplicates(["class"])
+    texts = distinct.select("h", "class", "words").join(F.broadcast(wanted) if few else wanted, "h", "left_semi").dropDuplicates(["class"])
     texts = materialize(texts, "texts")
     side = lambda s: texts.select(F.col("h").alias(s), F.col("class").alias(f"class_{s}"), F.col("words").alias(f"words_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("class_a", "class_b", "words_a", "words_b")
