@@ -4,9 +4,9 @@ Texts are folded to words (case, spacing, list marks and punctuation do not
 count) and equal ones become one class, of which one row goes on. MinHash values of
 word shingles make band keys, which go on while their shingles are usual ones; texts
 that share a key are candidates and are compared where they meet, by a second
-signature, of word pairs, in batches: after each batch a candidate is dropped if the
-posterior probability that its Jaccard similarity reaches ``least_jaccard`` has
-fallen below ``miss``. Survivors are verified exactly on their words. Linked classes
+signature, of words with multiplicity, in batches: after each batch a candidate is
+dropped if the posterior probability that its similarity reaches ``least`` has fallen
+below ``miss``. Survivors are verified exactly on their words. Linked classes
 form groups by connected components.
 
 A band key with more than ``block`` texts is not cut: its texts are laid out in
@@ -32,6 +32,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,28 +53,22 @@ def fold_words(text: Column) -> Column:
 
 
 @lru_cache(maxsize=512)
-def _coefficients(k: int) -> tuple[np.uint64, np.uint64]:
-    rng = np.random.Generator(np.random.PCG64([20240229, k]))
-    return rng.integers(1, 2**63, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**63, dtype=np.uint64)
-
-
-_word_ids: dict[str, int] = {}
-
-
-def shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all word shingles, number of each text); every text has at least one."""
-    if len(_word_ids) > 2_000_000:
-        _word_ids.clear()
-    ids, lengths = [], []
-    for t in texts:
-        words = t.split(" ")
-        for w in words:
-            if w not in _word_ids:
-                _word_ids[w] = xxhash.xxh64_intdigest(w)
-        ids.append(np.fromiter((_word_ids[w] for w in words), np.uint64, len(words)))
-        lengths.append(len(words))
-    lens = np.array(lengths)
-    flat = np.concatenate([*ids, np.zeros(size - 1, np.uint64)])
+def _coefficient(k: int) -> np.uint64:
+    return np.random.Generator(np.random.PCG64([20240229, k])).integers(1, 2**64 - 1, dtype=np.uint64) | np.uint64(1)
+
+
+def word_hashes(texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, number of each text) of folded texts; each distinct word of a batch is hashed once."""
+    lists = pc.split_pattern(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), " ")
+    words = lists.flatten().dictionary_encode()
+    ids = np.fromiter(map(xxhash.xxh64_intdigest, words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
+    return ids[words.indices.to_numpy()], np.diff(lists.offsets.to_numpy()).astype(np.int64)
+
+
+def shingles(words: tuple[np.ndarray, np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all word shingles, number of each text) from ``word_hashes``; every text has at least one."""
+    flat, lens = words
+    flat = np.concatenate([flat, np.zeros(size - 1, np.uint64)])
     total = lens.sum()
     h = np.zeros(total, np.uint64)
     own = np.repeat(np.cumsum(lens), lens)  # end of the text a position belongs to
@@ -88,12 +83,9 @@ def shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.add.reduceat(fits.astype(np.int64), starts)
 
 
-def _hashed(h: np.ndarray, k: int) -> np.ndarray:
-    """The k-th of a family of hashes, 32 bits."""
-    a, b = _coefficients(k)
-    x = h * a + b
-    x ^= x >> np.uint64(29)
-    return (x * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)
+def _least(h: np.ndarray, cut: np.ndarray, k: int) -> np.ndarray:
+    """The least of the k-th of a family of 32-bit hashes over each run of ``h`` (well mixed)."""
+    return np.minimum.reduceat((h * _coefficient(k)).view(np.uint32)[1::2], cut)
 
 
 def shingle_slots(h: np.ndarray) -> np.ndarray:
@@ -113,7 +105,7 @@ def usual_shingles(texts: DataFrame, size: int, n: int, *, share: float = 0.001,
         total = np.zeros(1 << SLOT_BITS, np.int64)
         for batch in it:
             if batch.num_rows:
-                total += np.bincount(shingle_slots(shingles(batch.column(0).to_pylist(), size)[0]), minlength=len(total))
+                total += np.bincount(shingle_slots(shingles(word_hashes(batch.column(0)), size)[0]), minlength=len(total))
         yield block_rows(total.astype("<i8"), 8192)
 
     rows = texts.select("words")
@@ -121,7 +113,7 @@ def usual_shingles(texts: DataFrame, size: int, n: int, *, share: float = 0.001,
     return seen >= max(least, share * n)
 
 
-def band_keys(texts: list[str], size: int, usual: np.ndarray, bands: int, *, depth: int = 3, weight: float = 0.3) -> np.ndarray:
+def band_keys(words: tuple[np.ndarray, np.ndarray], size: int, usual: np.ndarray, bands: int, *, depth: int = 3, weight: float = 0.3) -> np.ndarray:
     """Keys of shape (bands, texts).
 
     A key is the least shingle of a text under the hash of the band; in every other band
@@ -131,38 +123,63 @@ def band_keys(texts: list[str], size: int, usual: np.ndarray, bands: int, *, dep
     far as they agree. Weighted bands find edited copies with fewer chance meetings, the
     others variants of a passage that is in so many texts that all of it is usual.
     """
-    h, counts = shingles(texts, size)
-    start = np.cumsum(counts) - counts
+    h, counts = shingles(words, size)
+    owner = np.repeat(np.arange(len(counts)), counts)
     common = usual[shingle_slots(h)]
+    # usual and other shingles apart; texts without one of a kind keep the greatest value
+    kinds = []
+    for part in (common, ~common):
+        doc = owner[part]
+        first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
+        kinds.append((h[part], first, doc[first]))
+
+    def least(k: int, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
+        two = []
+        for x, first, doc in kinds:
+            m = np.full(len(counts), 2**32 - 1, np.float64)
+            if len(x):
+                m[doc] = _least(x, first, k)
+            two.append(m)
+        won = two[0] / (weight if weighted else 1.0) < two[1]
+        return np.where(won, two[0], two[1]).astype(np.uint64), won
+
+    base = [least(100 + b, b % 2 == 1) for b in range(bands)]
+    more = [least(200 + b, b % 2 == 1) for b in range(bands)]  # keys go on with those, each in a few bands
     out = np.empty((bands, len(counts)), np.uint64)
     for b in range(bands):
-        out[b] = b + 1
-        hh, com, cut, who, per = h, common, start, np.arange(len(counts)), counts
+        key, on = np.full(len(counts), b + 1, np.uint64), np.ones(len(counts), bool)
         for d in range(depth):
-            v = _hashed(hh, 64 + b * depth + d)
-            if b % 2:
-                v = np.where(com, (v / weight).astype(np.uint64), v)
-            least = np.minimum.reduceat((v << np.uint64(1)) | com, cut)
-            key = (out[b, who] ^ least) * np.uint64(0x9E3779B97F4A7C15)
-            out[b, who] = key ^ (key >> np.uint64(29))
-            more = (least & np.uint64(1)) == 1
-            if not more.any() or d + 1 == depth:
-                break
-            keep = np.repeat(more, per)
-            hh, com, who, per = hh[keep], com[keep], who[more], per[more]
-            cut = np.cumsum(per) - per
+            m, won = base[b] if d == 0 else more[(b + 2 * (d - 1) * (bands // 3)) % bands]
+            step = (key ^ m) * np.uint64(0x9E3779B97F4A7C15)
+            key = np.where(on, step ^ (step >> np.uint64(29)), key)
+            on &= won
+        out[b] = key
     return out
 
 
-def sketches(texts: list[str]) -> np.ndarray:
-    """MinHash of word pairs, 4 bits a hash, uint64 of shape (HASHES / BATCH, texts)."""
-    h, counts = shingles(texts, 2)
+def sketches(words: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """MinHash of the words with multiplicity, 4 bits a hash, uint64 of shape (HASHES / BATCH, texts).
+
+    The n-th time a word stands in a text is an element of its own, so that texts which
+    have ``least`` of the words of the longer in common have a Jaccard similarity of at
+    least ``least / (2 - least)``, however edits are spread and sentences moved.
+    """
+    h, counts = words
     cut = np.cumsum(counts) - counts
+    doc = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
+    order = np.argsort((doc << np.uint64(40)) | (h >> np.uint64(24)), kind="stable")
+    g = h[order]
+    new = np.r_[True, g[1:] != g[:-1]]
+    new[cut] = True
+    at = np.arange(len(g))
+    nth = at - np.maximum.accumulate(np.where(new, at, 0))
+    g = (g + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)
+    g ^= g >> np.uint64(31)
     out = np.zeros((HASHES // BATCH, len(counts)), np.uint64)
     for k in range(HASHES):
-        least = np.minimum.reduceat(_hashed(h, k), cut)
-        least ^= (least >> np.uint64(11)) ^ (least >> np.uint64(19))
-        out[k // BATCH] |= (least & np.uint64(15)) << np.uint64(4 * (k % BATCH))
+        m = _least(g, cut, k).astype(np.uint64)
+        m ^= (m >> np.uint64(11)) ^ (m >> np.uint64(19))
+        out[k // BATCH] |= (m & np.uint64(15)) << np.uint64(4 * (k % BATCH))
     return out
 
 
@@ -312,9 +329,9 @@ def candidate_links(texts: DataFrame, n: int, *, shingle: int, bands: int, least
             h, first = np.unique(batch.column(0).to_numpy(), return_index=True)
             if not len(h):
                 continue
-            rows = batch.column(1).take(pa.array(first)).to_pylist()
-            keys = band_keys(rows, shingle, shared.value, bands)
-            s = np.ascontiguousarray(sketches(rows).T).view(np.uint8).reshape(len(h), SKETCH)
+            words = word_hashes(batch.column(1).take(pa.array(first)))
+            keys = band_keys(words, shingle, shared.value, bands)
+            s = np.ascontiguousarray(sketches(words).T).view(np.uint8).reshape(len(h), SKETCH)
             yield _arrow(key=keys.ravel().view(np.int64), h=np.tile(h, bands), sketch=_binary(np.tile(s, (bands, 1))))
 
     posts = texts.select("h", "words").mapInArrow(post, "key bigint, h bigint, sketch binary")
@@ -353,14 +370,12 @@ BROADCAST_ROWS = 1_000_000
 
 def near_duplicate_links(
     df: DataFrame, *, id: str = "id", text: str = "text", shingle: int = 3, bands: int = 18,
-    least_jaccard: float = 0.38, miss: float = 0.01, least: float = 0.8, least_pairs: float = 0.5, block: int = 2048,
+    miss: float = 0.01, least: float = 0.8, least_pairs: float = 0.5, block: int = 2048,
 ) -> tuple[DataFrame, DataFrame]:
     """(members: id, class), (links: a, b, similarity between classes).
 
-    Defaults are for edits of up to a fifth of the words. Spread evenly, those leave no
-    five-word shingle, two fifths of the three-word shingles, and three fifths of the
-    word pairs, which is a Jaccard similarity of 0.43. For plain near-copies pass
-    shingle=5, least_jaccard=0.8.
+    Edits of a fifth of the words, spread evenly, leave no five-word shingle and two
+    fifths of the three-word shingles, so shingles are of three words.
     """
     folded = df.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), fold_words(F.col(text)).alias("words")).where(F.col("words") != "")
     keyed = materialize(folded.select("id", F.unhex(F.md5("words")).alias("class"), F.xxhash64("words").alias("h"), "words"), "folded")
@@ -370,7 +385,7 @@ def near_duplicate_links(
     spare = materialize(members.join(copies, "class").where(F.col("id") != F.col("first")).select("id", "class"), "spare")
     distinct = keyed.join(F.broadcast(spare) if spare.count() <= BROADCAST_ROWS else spare, ["id", "class"], "left_anti")
     n = keyed.count() - spare.count()
-    pairs = materialize(candidate_links(distinct.select("h", "words"), n, shingle=shingle, bands=bands, least_jaccard=least_jaccard, miss=miss, block=block), "pairs")
+    pairs = materialize(candidate_links(distinct.select("h", "words"), n, shingle=shingle, bands=bands, least_jaccard=least / (2 - least), miss=miss, block=block), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     few = pairs.count() * 2 <= BROADCAST_ROWS
     texts = distinct.select("h", "class", "words").join(F.broadcast(wanted) if few else wanted, "h", "left_semi").dropDuplicates(["class"])
