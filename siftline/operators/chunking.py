@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
@@ -34,28 +34,31 @@ def fixed_windows(n_tokens: Column, size: int, overlap: int) -> Column:
     return F.when(n_tokens <= 0, F.array().cast("array<struct<start:int,end:int>>")).otherwise(F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((i * step).alias("start"), F.least(i * step + size, n_tokens).alias("end"))))
 
 
+def boundary_ranks(text: str, starts: np.ndarray) -> np.ndarray:
+    """What begins at each token: 2 a paragraph, 1 a sentence, 0 neither; one more place for the end of the text."""
+    rank = np.zeros(len(starts) + 1, np.int8)
+    for value, pattern in ((1, SENTENCE_END), (2, PARAGRAPH_END)):
+        ends = np.fromiter((m.end() for m in pattern.finditer(text)), np.int64)
+        rank[np.searchsorted(starts, ends)] = value
+    return rank
+
+
 def split_tokens(text: str, size: int, overlap: int) -> list[tuple[int, ...]]:
     """(start token, end token, start, end, overlap tokens, overlap characters) of each chunk."""
-    starts = [m.start() for m in TOKEN_RE.finditer(text)]
-    n = len(starts)
-    edges = [*starts, len(text)]
-    paragraph = sorted({i for m in PARAGRAPH_END.finditer(text) if 0 < (i := bisect_left(starts, m.end())) < n})
-    sentence = sorted({i for m in SENTENCE_END.finditer(text) if 0 < (i := bisect_left(starts, m.end())) < n})
-    least = max(size // 2, overlap + 1)
-    out, start, before = [], 0, None
-    while n:
-        hard = min(start + size, n)
-        end = n
-        if hard < n:
-            low = start + least - 1
-            fits = (p[k - 1] for p in (paragraph, sentence) if (k := bisect_right(p, hard)) and p[k - 1] > low)
-            end = next(fits, hard)
-        shared = 0 if before is None else before - start
-        out.append((start, end, edges[start], edges[end], shared, 0 if before is None else edges[before] - edges[start]))
-        if end >= n:
-            break
-        start, before = end - overlap, end
-    return out
+    starts = np.fromiter((m.start() for m in TOKEN_RE.finditer(text)), np.int64)
+    if not len(starts):
+        return []
+    rank, at = boundary_ranks(text, starts), np.append(starts, len(text))
+    shortest = max(size // 2, overlap + 1)
+    first, last = [0], []
+    while first[-1] + size < len(starts):
+        window = rank[first[-1] + shortest : first[-1] + size + 1][::-1]
+        last.append(first[-1] + size - int(window.argmax()))  # of the highest rank the last place; of none the full size
+        first.append(last[-1] - overlap)
+    last.append(len(starts))
+    shared = [0, *(e - s for e, s in zip(last, first[1:]))]
+    chars = [0, *(int(at[e] - at[s]) for e, s in zip(last, first[1:]))]
+    return [(s, e, int(at[s]), int(at[e]), n, c) for s, e, n, c in zip(first, last, shared, chars)]
 
 
 def chunk_spans(df: DataFrame, *, text: str = "text", size: int = 512, overlap: int = 64, keep: list[str] | None = None) -> DataFrame:

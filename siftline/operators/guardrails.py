@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+import re
+from bisect import bisect_left
+from itertools import groupby
+from operator import itemgetter
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.config import GuardThresholds
 from siftline.functions import text as X
+from siftline.functions.checks import luhn_ok, verhoeff_ok, verhoeff_valid
 
-_WORDS = r"(?i)\b"
-# What each injection rule looks for.
+def _near(first: str, then: str, gap: int = 4) -> str:
+    """A word of ``first`` and, at most ``gap`` words on, something of ``then``."""
+    words = lambda s: "|".join(s.split())
+    return rf"\b(?:{words(first)})\b(?:\W+\w+){{0,{gap}}}?\W+(?:{then if ' ' not in then else words(then)})\b"
+
+
+#: What each rule looks for: a verb near its object, or a telling phrase.
 INJECTION = {
-    "ignore previous instructions": _WORDS + r"(?:forget|ignore|disregard)\s+(?:(?:any|all)\s+)?(?:of\s+)?(?:(?:my|the|your|these|those)\s+)?(?:(?:above|earlier|previous|prior|preceding|system)\s+)?(?:prompts?|instructions?)\b",
-    "reveal system prompt": _WORDS + r"(?:tell me|show|print|reveal|repeat|display|output)\b.{0,30}\b(?:developer|hidden|initial|system)\s+(?:message|instructions?|prompt)\b",
-    "role override": _WORDS + r"(?:you are now (?:an?|the|in)|you are no longer (?:an?|bound)|from now on,? (?:answer|act|respond|you))\b",
-    "jailbreak": _WORDS + r"(?:do anything now|jailbroken|jailbreak|developer mode|DAN mode)\b",
-    "unrestricted persona": _WORDS + r"(?:behave|pretend|act)\b.{0,20}\b(?:uncensored|unfiltered|unrestricted)\b",
-    "chat-template tokens": r"(?i)<\|?(?:assistant|im_end|im_start|system)\|?>|\[/?INST\]",
+    name: "(?i)" + pattern
+    for name, pattern in {
+        "ignore previous instructions": _near("bypass disregard forget ignore override", "instruction instructions prompt prompts"),
+        "reveal system prompt": _near("display expose leak print repeat reveal show", r"(?:hidden|internal|system)\W+(?:\w+\W+)?(?:instructions|message|prompt)"),
+        "role override": r"\byou\W+are\W+now\W+(?:a|an|my|the)\b|\bfrom\W+now\W+on\W+you\b",
+        "jailbreak": r"\bjail\W?break\w*|\b(?:dan|developer|god)\W+mode\b",
+        "unrestricted persona": _near("act behave play pretend roleplay", "lawless uncensored unfiltered unrestricted"),
+        "chat-template tokens": r"<\|\w+\|>|\[/?inst\]|<</?sys>>",
+    }.items()
 }
 
 
@@ -38,31 +51,6 @@ PATTERNS = {
 }
 
 
-@lru_cache(maxsize=1)
-def _verhoeff_tables() -> tuple[list[list[int]], list[list[int]]]:
-    """Products of the dihedral group of order ten, and the powers of the scheme's permutation."""
-
-    def times(a: int, b: int) -> int:
-        turn, flip = (a + b if a < 5 else a - b) % 5, (a >= 5) != (b >= 5)
-        return turn + 5 * flip
-
-    powers = [list(range(10))]
-    step = [1, 5, 7, 6, 2, 8, 3, 0, 9, 4]
-    for _ in range(7):
-        powers.append([step[x] for x in powers[-1]])
-    return [[times(a, b) for b in range(10)] for a in range(10)], powers
-
-
-def verhoeff_valid(digits: Column) -> Column:
-    d, p = _verhoeff_tables()
-    product = F.array(*[F.lit(x) for row in d for x in row])
-    power = F.array(*[F.lit(x) for row in p for x in row])
-    each = F.split(F.reverse(digits), "")
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("c"))
-    step = lambda s, x: F.struct((s["i"] + 1).alias("i"), F.get(product, s["c"] * 10 + F.get(power, (s["i"] % 8) * 10 + x.cast("int"))).alias("c"))
-    return F.aggregate(F.filter(each, lambda x: x != ""), start, step, lambda s: s["c"] == 0)
-
-
 def _digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
@@ -95,6 +83,15 @@ def mask_pii(c: Column) -> Column:
     return c
 
 
+def mask_string(t: str) -> str:
+    """``mask_pii`` of one Python string, for text that arrives in pieces."""
+    check = {"CREDIT_CARD": luhn_ok, "IN_AADHAAR": verhoeff_ok}
+    for kind, pattern in PATTERNS.items():
+        ok = check.get(kind, lambda _: True)
+        t = re.sub(pattern, lambda m: f"<{kind}>" if ok(re.sub("[^0-9]", "", m.group())) else m.group(), t, flags=re.ASCII)  # noqa: B023
+    return t
+
+
 # --- chains -----------------------------------------------------------------
 
 
@@ -152,25 +149,46 @@ def output_guards(df: DataFrame, limits: GuardThresholds = GuardThresholds()) ->
     return d.withColumn("verdict", verdict).withColumnRenamed("_final", "final").drop("_again", "_text", "_share", "_unknown", "_ungrounded", "_masked")
 
 
+PARTS = re.compile(r"\s+|\S+")
+
+
 def word_diff(before: str, after: str) -> list[tuple[str, str]]:
-    """(same | removed | added, words) by longest common subsequence."""
-    a, b = before.split(), after.split()
-    length = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            length[i][j] = length[i + 1][j + 1] + 1 if a[i] == b[j] else max(length[i + 1][j], length[i][j + 1])
-    steps, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i] == b[j]:
-            steps.append(("same", a[i]))
-            i, j = i + 1, j + 1
-        elif i < len(a) and (j == len(b) or length[i + 1][j] >= length[i][j + 1]):
-            steps.append(("removed", a[i]))
-            i += 1
-        else:
-            steps.append(("added", b[j]))
-            j += 1
-    out: list[tuple[str, str]] = []
-    for kind, w in steps:
-        out = [*out[:-1], (kind, f"{out[-1][1]} {w}")] if out and out[-1][0] == kind else [*out, (kind, w)]
+    """(same | removed | added, text) runs; words and the white space between them are the parts.
+
+    The longest common subsequence is the longest rising chain through the places at
+    which parts agree, so the work grows with the number of agreements.
+    """
+    a, b = PARTS.findall(before or ""), PARTS.findall(after or "")
+    places: dict[str, list[int]] = {}
+    for j, w in enumerate(b):
+        places.setdefault(w, []).insert(0, j)
+    ends: list[int] = []  # least place in b at which a chain of each length ends
+    chains: list[tuple] = []  # (place in a, place in b, chain before)
+    for i, w in enumerate(a):
+        for j in places.get(w, ()):
+            k = bisect_left(ends, j)
+            link = (i, j, chains[k - 1] if k else None)
+            ends[k : k + 1], chains[k : k + 1] = [j], [link]
+    agreed, link = [(len(a), len(b))], chains[-1] if chains else None
+    while link:
+        agreed.append(link[:2])
+        link = link[2]
+    runs: list[tuple[str, str]] = []
+    i = j = 0
+    for x, y in reversed(agreed):
+        runs += [("removed", "".join(a[i:x])), ("added", "".join(b[j:y])), ("same", "".join(a[x : x + 1]))]
+        i, j = x + 1, y + 1
+    out = []
+    for kind, group in groupby((r for r in runs if r[1]), key=itemgetter(0)):
+        out.append((kind, "".join(t for _, t in group)))
     return out
+
+
+def diff_column(before: Column, after: Column) -> Column:
+    """array<struct<kind, text>>: ``word_diff`` of two columns, Arrow batches at a time."""
+
+    @F.pandas_udf("array<struct<kind:string,text:string>>")
+    def diff(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([[{"kind": k, "text": t} for k, t in word_diff(p, q)] for p, q in zip(x, y)])
+
+    return diff(before, after)

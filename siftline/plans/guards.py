@@ -153,10 +153,8 @@ def fn16_unwrap_json(spark, d):
 
 @query()
 def fn19_word_diff(spark, d):
-    kind = T.ArrayType(T.StructType().add("kind", T.StringType()).add("words", T.StringType()))
-    diff = F.udf(R.word_diff, kind)
     q = questions(spark, d).select("id", "question", R.mask_pii(F.col("question")).alias("masked")).where(F.col("question") != F.col("masked"))
-    return q.select("id", F.size(diff("question", "masked")).alias("runs"))
+    return q.select("id", F.size(R.diff_column(F.col("question"), F.col("masked"))).alias("runs"))
 
 
 @query(f"""select id, n > 25 as blocked, case when n > 25 then 'block' else 'pass' end as length_verdict, case when n > 25 then 'skipped' when score < 0.7 then 'warn' else 'pass' end as topic_verdict
@@ -228,12 +226,8 @@ def str5_redactor(spark, d):
     """Chunks sent in pieces of twenty characters and redacted sentence by sentence."""
     from siftline.streaming.events import redact_deltas
 
-    import re
-
-    email = re.compile(R.PATTERNS["EMAIL_ADDRESS"])
-
     def send(t: str | None) -> str | None:
-        return None if t is None else "".join(redact_deltas([t[i : i + 20] for i in range(0, len(t), 20)], lambda x: email.sub("<EMAIL_ADDRESS>", x)))
+        return None if t is None else "".join(redact_deltas([t[i : i + 20] for i in range(0, len(t), 20)], R.mask_string))
 
     @F.pandas_udf(T.StringType())
     def sent(s: pd.Series) -> pd.Series:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-#: Where redaction may cut: after a sentence end whose following blank has arrived, or after a line end.
-BOUNDARY = re.compile(r"[.!?](?=\s)|\n")
+#: Complete sentences and lines, then what is still being written.
+COMPLETE = re.compile(r"((?:.*(?:[.!?](?=\s)|\n))?)(.*)", re.DOTALL)
 WITHHELD = "[withheld: PII redaction was unavailable]"
 
 
@@ -50,29 +50,34 @@ def durations(sequenced: DataFrame) -> DataFrame:
 # --- redaction --------------------------------------------------------------
 
 
-def redact(buffer: str, mask: Callable[[str], str], final: bool) -> tuple[str, str, bool]:
-    """(what may go out, what stays, whether masking failed)."""
-    cut = len(buffer) if final else max((m.end() for m in BOUNDARY.finditer(buffer)), default=0)
-    if not cut:
-        return "", buffer, False
-    try:
-        return mask(buffer[:cut]), buffer[cut:], False
-    except Exception:  # noqa: BLE001 - text that cannot be checked must not go out
-        return WITHHELD, "", True
+class Redactor:
+    """Masks a text that arrives in pieces, sentence by sentence.
+
+    ``rest`` is what has not been sent; after a failure of ``mask`` one marker goes out
+    and nothing more (``silent``), as text that cannot be checked must not be sent.
+    """
+
+    def __init__(self, mask: Callable[[str], str], rest: str = "", silent: bool = False):
+        self.mask, self.rest, self.silent = mask, rest, silent
+
+    def send(self, piece: str, last: bool = False) -> str:
+        if self.silent:
+            return ""
+        ready, self.rest = COMPLETE.fullmatch(self.rest + piece).groups()
+        if last:
+            ready, self.rest = ready + self.rest, ""
+        try:
+            return self.mask(ready) if ready else ""
+        except Exception:  # noqa: BLE001
+            self.rest, self.silent = "", True
+            return WITHHELD
 
 
 def redact_deltas(deltas: list[str], mask: Callable[[str], str]) -> list[str]:
-    """What a stream of deltas sends, piece by piece, then the rest; silent after a failure."""
-    out, buffer = [], ""
-    for i in range(len(deltas) + 1):
-        final = i == len(deltas)
-        buffer += "" if final else deltas[i]
-        text, buffer, failed = redact(buffer, mask, final)
-        if text:
-            out.append(text)
-        if failed:
-            return out
-    return out
+    """What a stream of deltas sends, piece by piece, then the rest."""
+    r = Redactor(mask)
+    sent = [*map(r.send, deltas), r.send("", last=True)]
+    return [t for t in sent if t]
 
 
 # --- streams ----------------------------------------------------------------
@@ -115,16 +120,10 @@ def redact_stream(stream: DataFrame, mask: Callable[[str], str]) -> DataFrame:
     """(stream_id, out): masked text up to the last sentence end that has arrived. ``stream``: stream_id, seq, delta, final."""
 
     def step(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        buffer, dead = state.get if state.exists else ("", False)
+        r = Redactor(mask, *(state.get if state.exists else ()))
         rows = pd.concat(parts).sort_values("seq")
-        out = []
-        for delta, final in zip(rows["delta"], rows["final"]):
-            if dead:
-                break
-            text, buffer, dead = redact(buffer + (delta or ""), mask, bool(final))
-            if text:
-                out.append((key[0], text))
-        state.update((buffer, dead))
-        yield pd.DataFrame(out, columns=["stream_id", "out"])
+        sent = [r.send(delta or "", bool(last)) for delta, last in zip(rows["delta"], rows["final"])]
+        state.update((r.rest, r.silent))
+        yield pd.DataFrame({"stream_id": key[0], "out": [t for t in sent if t]}, columns=["stream_id", "out"])
 
     return stream.groupBy("stream_id").applyInPandasWithState(step, T.StructType.fromDDL("stream_id bigint, out string"), T.StructType.fromDDL("buffer string, dead boolean"), "append", "NoTimeout")
