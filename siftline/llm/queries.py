@@ -96,15 +96,20 @@ def _given(spark: SparkSession, d: str) -> list[str]:
     return given_names(table(spark, d, "extracted_entity").where(F.upper(F.trim("type")) == "PERSON"))
 
 
+def _key(spark: SparkSession) -> bytes:
+    """The key of pseudonyms, a setting of the session; without one stand-ins are for show only."""
+    return spark.conf.get("spark.siftline.pseudonym.key", "for show only").encode()
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     texts = _texts_with_pii(spark, d).select(F.concat_ws("\t", "record_kind", "id").alias("key"), "text")
-    found = pii_findings(texts, _given(spark, d), id="key")
+    found = pii_findings(texts, _given(spark, d), id="key", key=_key(spark))
     parts = F.split("record_id", "\t", 2)
     return found.select(parts[0].alias("record_kind"), parts[1].alias("record_id"), "start_offset", "end_offset", "type")
 
 
 def p6_masked(spark: SparkSession, d: str) -> DataFrame:
-    return mask_pii(_texts_with_pii(spark, d), _given(spark, d), key=b"siftline").select("record_kind", "id", "masked", "pseudonymous")
+    return mask_pii(_texts_with_pii(spark, d), _given(spark, d), key=_key(spark)).select("record_kind", "id", "masked", "pseudonymous")
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
