@@ -122,7 +122,7 @@ def _document_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
-    return mixture_report(_document_sizes(spark, d), table(spark, d, "mix_target"))
+    return mixture_report(materialize(_document_sizes(spark, d), "sizes"), table(spark, d, "mix_target"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,14 +1,21 @@
 """Encoding of a whole corpus with a public byte-level BPE tokenizer (problem 7).
 
-Short texts are encoded whole. In a text longer than ``long_chars`` the runs the
-pre-tokenizer cannot split, longer than ``run_chars``, are cut into halves again
-and again; the leaves become rows, so all executors share one huge text, and the
-halves are joined pairwise. A join re-encodes a window of tokens around the seam
-and doubles it until the new encoding begins and ends with the very tokens the
-two sides have there. That is exact: a token sequence is the BPE encoding of a
-run if and only if every two adjacent tokens are the encoding of their own
-concatenation; inside the window this holds by construction, and a window whose
-first and last tokens agree leaves every pair across its edges as it was.
+A text longer than ``leaf_chars`` is cut into halves, again and again, the halves are
+encoded on their own and joined pairwise. A join looks for the last place in the left
+half and the first in the right where the split pattern parts the text whatever stands
+around it (``STABLE``), in windows around the cut that double until both sides have
+one; what lies between is encoded anew and replaces the tokens on both sides, and
+everything beyond is as in the encoding of the whole.
+
+Runs longer than ``run_chars`` that the pattern cannot split are joined token by token:
+a window of tokens around the cut is encoded anew and doubles until it begins and ends
+with the very tokens the two sides have there. That is exact: a token sequence is the
+BPE encoding of a run if and only if every two adjacent tokens are the encoding of
+their own concatenation; inside the window this holds by construction, and a window
+whose first and last tokens agree leaves every pair across its edges as it was.
+
+In a text longer than ``long_chars`` the leaves become rows, so all executors share one
+huge text. The lengths decide where work is done, not what comes out.
 
 Defined results: null, empty texts -> empty list. Strings of special tokens are
 ordinary text. Rows are kept as they are, replayed ones too; the id column need
@@ -67,6 +74,59 @@ def encode_run(enc, run: str, leaf_chars: int) -> list[int]:
     return join_halves(enc, encode_run(enc, run[:half], leaf_chars), encode_run(enc, run[half:], leaf_chars))
 
 
+#: Between a letter or digit and a blank with a letter or a mark the pattern always parts, and looks neither back nor ahead.
+STABLE = regex.compile(r"(?<=[\p{L}\p{N}])(?= \p{L}|[^\s\p{L}\p{N}'])")
+
+
+def _token_tail(enc, ids: list[int], text: str) -> int:
+    """How many of the last tokens spell ``text``."""
+    left, n = len(text.encode()), 0
+    while left > 0:
+        n += 1
+        left -= len(enc.decode_single_token_bytes(ids[-n]))
+    assert left == 0, "no token boundary at a stable place"
+    return n
+
+
+def join_texts(enc, left_text: str, left: list[int], right_text: str, right: list[int], window: int = 64) -> list[int]:
+    """The encoding of ``left_text + right_text`` from the encodings of both."""
+    while True:
+        a, b = max(0, len(left_text) - window), min(window, len(right_text))
+        last = None
+        for last in STABLE.finditer(left_text, a):
+            pass
+        first = STABLE.search(right_text, 0, b)
+        if (last or a == 0) and (first or b == len(right_text)):
+            break
+        window *= 2
+    cut = last.start() if last else 0
+    end = first.start() if first else len(right_text)
+    keep = len(left) - _token_tail(enc, left, left_text[cut:])
+    drop = len(right) - _token_tail(enc, right, right_text[end:])
+    return left[:keep] + enc.encode_ordinary(left_text[cut:] + right_text[:end]) + right[drop:]
+
+
+def encode_text(enc, text: str, leaf_chars: int) -> list[int]:
+    """Tree concatenation of one text inside one process."""
+    if len(text) <= leaf_chars:
+        return enc.encode_ordinary(text)
+    half = len(text) // 2
+    a, b = text[:half], text[half:]
+    return join_texts(enc, a, encode_text(enc, a, leaf_chars), b, encode_text(enc, b, leaf_chars))
+
+
+def encode_whole(enc, text: str, leaf_chars: int, run_chars: int) -> list[int]:
+    """The encoding of a text of any kind: long runs apart, all else by ``encode_text``."""
+    if len(text) <= min(leaf_chars, run_chars):
+        return enc.encode_ordinary(text)
+    if not regex.search(rf"\S{{{run_chars}}}|\s{{{run_chars}}}", text):
+        return encode_text(enc, text, leaf_chars)
+    out: list[int] = []
+    for is_run, part in _segments(text, run_chars, run_chars):
+        out += encode_run(enc, part, leaf_chars) if is_run else encode_text(enc, part, leaf_chars)
+    return out
+
+
 def _segments(text: str, run_chars: int, block_chars: int) -> Iterator[tuple[bool, str]]:
     """(is one pre-token, text) in order; cuts lie between pre-tokens only.
 
@@ -103,7 +163,8 @@ def encode_corpus(
     path: str | None = None,
     out: str = "ids",
     long_chars: int = 200_000,
-    run_chars: int = 20_000,
+    run_chars: int = 2_000,
+    leaf_chars: int = 1_000,
     count_only: bool = False,
 ) -> DataFrame:
     """``df`` with ``out``: array<int> of token ids, or their number with ``count_only``.
@@ -118,12 +179,12 @@ def encode_corpus(
     def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = encoder(path)
         for s in parts:
-            ids = (enc.encode_ordinary(t) if t else [] for t in s)
+            ids = (encode_whole(enc, t, leaf_chars, run_chars) if t else [] for t in s)
             yield pd.Series([len(x) for x in ids] if count_only else list(ids), index=s.index, dtype="int32" if count_only else object)
 
     short = df.where(F.col(text).isNull() | (F.length(text) <= long_chars)).withColumn(out, encode(text))
     result = [c for c in df.columns if c != out] + [out]
-    long = _encode_long(df.where(F.length(text) > long_chars), text, path, out, run_chars)
+    long = _encode_long(df.where(F.length(text) > long_chars), text, path, out, 10 * run_chars)
     if count_only:
         long = long.withColumn(out, F.size(out))
     return short.select(*result).unionByName(long.select(*result))

@@ -367,6 +367,18 @@ def test_tree_concatenation(reference_tokenizer):
         assert T.encode_run(enc, run, 64) == want == reference_tokenizer(run) or len(run) > 4000
 
 
+def test_halves_of_any_text_join(reference_tokenizer):
+    enc = T.encoder(T.vocabulary_path())
+    rng = random.Random(12)
+    pieces = ["word", " and", " ", "  ", "\n", "\n\n", "it's", "'ll", "...", "!?", " (x)", "12345", " 7", "é", "中文字", "🙂", "\t", "a" * 40, "=-" * 20, "\u200b", "' ", "don't", "\r\n", ". ", ", "]
+    for _ in range(150):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 120)))
+        want = reference_tokenizer(text)
+        assert T.encode_text(enc, text, 8) == want and T.encode_whole(enc, text, 16, 24) == want
+    long = "The first. " * 700 + "x" * 9000 + " end\n\n" + " " * 5000 + "of it"
+    assert T.encode_whole(enc, long, 1000, 2000) == enc.encode_ordinary(long) == reference_tokenizer(long)
+
+
 def test_segments_keep_the_split():
     enc = T.encoder(T.vocabulary_path())
     for text in ("abc.\n\nbar " * 30, "word \n\n  \tnext" * 30, "a\n\n" + "x" * 50 + "  \n" + "y" * 50 + "\n\n", " " * 60 + "end\n\nof", "a  b" * 40, "\n\n" + "z" * 50):
@@ -401,16 +413,37 @@ def test_edf_stays_within_a_block():
         assert all(abs(done[k] - (t + 1) * n / 100) < 1 for k, n in blocks.items())
 
 
+def test_periods_keep_the_shares():
+    blocks = {"a": 523, "b": 311, "c": 168, "d": 7, "e": 1}
+    for periods in (1, 3, 10):
+        done, slot = Counter(), 0
+        for p in range(periods):
+            mine = M.quotas(blocks, p, periods)
+            assert all(done[s] == a for s, (a, _) in mine.items()) and slot == sum(a for a, _ in mine.values())
+            for s, j, t in M.edf_slots({s: n for s, (_, n) in mine.items()}):
+                done[s] += 1
+                slot += 1
+                assert all(abs(done[k] - slot * n / 1010) < (1 if periods == 1 else 2) for k, n in blocks.items())
+        assert done == Counter(blocks)
+
+
 def test_mixture(spark):
-    docs = [(i, [" Web-Page", "WEB page", "faq", None, "other"][i % 5], 10) for i in range(500)] + [(0, " Web-Page", 10), (900, "faq", 0)]
+    docs = [(i, [" Web-Page", "WEB page", "faq", None, "other"][i % 5], 10) for i in range(500)] + [(900, "faq", 0)]
     sizes = spark.createDataFrame(docs, "doc_id bigint, source string, n_tokens int").withColumn("slot", F.lit(1))
     targets = spark.createDataFrame([("web_page", 0.3, 1), ("faq", 0.5, 2), ("rare", 0.2, 5)], "source string, weight double, max_repeats int")
-    report = {r["source"]: r for r in M.mixture_report(sizes.dropDuplicates(["doc_id"]), targets).collect()}
-    assert report["web_page"]["reachable"] and not report["faq"]["reachable"] and not report["rare"]["reachable"] and report["faq"]["available_tokens"] == 2000
-    mix = M.mix_sources(sizes, targets, n_blocks=100).toPandas()
-    assert mix.groupby(["source", "doc_id"]).size().max() <= 2 and mix[mix.source == "faq"].n_tokens.sum() == 2000
-    assert abs(mix[mix.source == "web_page"].n_tokens.sum() - 1500) <= 10 and 900 not in set(mix.doc_id)
-    assert not mix.duplicated(["doc_id", "occurrence"]).any()
+    for period in (4096, 20):
+        report = {r["source"]: r for r in M.mixture_report(sizes, targets, block_tokens=35, period=period).collect()}
+        assert report["web_page"]["reachable"] and not report["faq"]["reachable"] and not report["rare"]["reachable"] and report["faq"]["available_tokens"] == 2000
+        assert report["faq"]["mixed_tokens"] == 2000 and report["faq"]["most_repeats"] == 2 and report["rare"]["mixed_tokens"] == 0 and report["rare"]["actual_share"] == 0
+        assert 0 <= report["web_page"]["mixed_tokens"] - 1500 <= 10 and report["faq"]["actual_share"] == pytest.approx(2000 / (2000 + report["web_page"]["mixed_tokens"]))
+        mix = M.mix_sources(sizes.unionByName(sizes.where("doc_id = 0")), targets, block_tokens=35, period=period).toPandas()
+        assert mix.groupby(["source", "doc_id"]).size().max() <= 2 and mix[mix.source == "faq"].n_tokens.sum() == 2000
+        assert 900 not in set(mix.doc_id) and not mix.duplicated(["doc_id", "occurrence"]).any()
+        seen, total = Counter(), 0
+        for s, n in zip(mix.sort_values(["slot", "occurrence", "doc_id"]).source, mix.sort_values(["slot", "occurrence", "doc_id"]).n_tokens):
+            seen[s] += n
+            total += n
+            assert abs(seen["faq"] - total * 2000 / 3500) < 3 * 35
     assert M.mixture_report(sizes.where("false"), targets).count() == 3 and M.mix_sources(sizes.where("false"), targets).count() == 0
 
 
