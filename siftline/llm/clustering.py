@@ -6,16 +6,17 @@ the sums of their vectors give exactly. All mutually best pairs merge at once,
 round after round, until no such pair reaches the threshold.
 
 Rounds run first inside cells (each record goes to the nearest of a bounded sample
-of records, a large cell in blocks), from single records on, then on the sparse
-graph that joins each cluster so found with its most similar ones. When two clusters
-merge, their edges unite. Rounds on the graph are joins while it has more than
-``finish_edges`` edges; below that bound one task runs the same rounds.
+of records, a large cell in blocks), from single records on and down to ``close``, a
+similarity above the threshold, so that what a cell separates can still meet; then on
+the sparse graph that joins each cluster so found with its most similar ones, down to
+``threshold``. When two clusters merge, their edges unite. Rounds on the graph are
+joins while it has more than ``finish_edges`` edges; below that bound one task runs the
+same rounds, with the same result.
 
-Merging never takes a step back, so at the end each record is compared with the
-centres of the ``centres`` largest clusters and moves to the nearest one. Clusters
-below ``least_share`` of the records are no topics: their records move too.
+Clusters are what the linkage leaves: none is dissolved, however small, and there is
+no bound on their number.
 
-Defined results: null texts and texts without a known term are in no cluster; ids
+Defined results: null texts and texts without a term of weight are in no cluster; ids
 repeated count once; equal texts share a cluster; ids number clusters by their
 least member; of equally similar partners the least id is best.
 """
@@ -34,7 +35,7 @@ from pyspark.sql import Window as W
 
 from siftline.llm.knn import k_nearest_classes, pack_rows
 from siftline.llm.near_duplicates import _arrow, _binary, _matrix
-from siftline.llm.terms import document_frequencies, sign_rows, weigh, words
+from siftline.llm.terms import document_frequencies, sign_rows, slots, term_hashes, words
 from siftline.sources.shared import materialize
 
 WIDTH = 128
@@ -50,28 +51,38 @@ def _unpack8(m: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def text_vectors(df: DataFrame, id: str, text: str, *, power: float = 1.25) -> DataFrame:
-    """(id, v) of every text with a known term; weights are log tf times idf to ``power``."""
+def text_vectors(df: DataFrame, id: str, text: str, *, power: float = 1.25, rare: float = 0.005) -> DataFrame:
+    """(id, v) of every text with a term of weight.
+
+    Weights are log tf times idf to ``power``; a term that less than the share ``rare``
+    of the texts hold weighs less by the square root of what it falls short, as such
+    terms tell writers and firms apart rather than matters.
+    """
     n, seen = document_frequencies(df, text)
-    index = {t: i for i, t in enumerate(sorted(seen))}
-    idf = np.log(np.maximum(n / np.array([seen[t] for t in index] or [1.0]), 1.0)).astype(np.float32) ** np.float32(power)
-    shared = df.sparkSession.sparkContext.broadcast((index, idf))  # at most the bound of the vocabulary
+    idf = np.log(np.maximum(n / np.maximum(seen, 1), 1.0)) ** power * np.sqrt(np.minimum(1.0, np.maximum(seen, 1) / max(1, n) / rare))
+    shared = df.sparkSession.sparkContext.broadcast(idf.astype(np.float32))  # one number a counter
 
-    def embed(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, idf = shared.value
-        signs = sign_rows(list(index), WIDTH)
-        for pdf in it:
-            ids, xs = [], []
-            for key, t in zip(pdf["id"], pdf["text"]):
-                k, w = weigh(Counter(words(t)), index, idf)
-                if len(k):
-                    ids.append(key)
+    def embed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = shared.value
+        for batch in it:
+            local: dict[str, int] = {}
+            counts = [[(local.setdefault(w, len(local)), c) for w, c in Counter(words(t)).items()] for t in batch.column(1).to_pylist()]
+            h = term_hashes(list(local))
+            signs, heavy = sign_rows(h, WIDTH), idf[slots(h)]
+            keep, xs = [], []
+            for i, pairs in enumerate(counts):
+                if not pairs:
+                    continue
+                k, tf = np.array(pairs).T
+                w = np.log1p(tf).astype(np.float32) * heavy[k]
+                if w.any():
+                    keep.append(i)
                     xs.append(w @ signs[k])
             v = _pack8(np.stack(xs)) if xs else np.zeros((0, WIDTH), np.uint8)
-            yield pd.DataFrame({"id": pd.Series(ids, dtype=object), "v": pd.Series([r.tobytes() for r in v], dtype=object)})
+            yield _arrow(id=batch.column(0).take(pa.array(keep, pa.int64())), v=_binary(v))
 
     rows = df.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).cast("string").alias("id"), F.col(text).alias("text"))
-    return rows.mapInPandas(embed, "id string, v binary")
+    return rows.mapInArrow(embed, "id string, v binary")
 
 
 # --- rounds of mutually best merges -----------------------------------------
@@ -169,8 +180,7 @@ def merge_rounds(edges: DataFrame, nodes: DataFrame, threshold: float, *, finish
         full = edges.join(nodes.toDF("a", "wa", "sa"), "a").join(nodes.toDF("b", "wb", "sb"), "b")
         scored = full.select("a", "b", "wa", "wb", "sa", "sb").mapInPandas(means, "a string, b string, s double")
         ends = scored.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v"), "s"), F.struct(F.col("b").alias("u"), F.col("a").alias("v"), "s"))).alias("e")).select("e.*")
-        # of equal partners the least id: the greatest similarity, then the least of the ids that have it
-        best = ends.groupBy("u").agg(F.max_by("v", F.struct("s", F.expr("transform(split(v, ''), c -> -ascii(c))"))).alias("v"), F.max("s").alias("s")).where(F.col("s") >= threshold)
+        best = ends.groupBy("u").agg(F.min_by("v", F.struct((-F.col("s")).alias("n"), "v")).alias("v"), F.max("s").alias("s")).where(F.col("s") >= threshold)
         moved = best.alias("x").join(best.alias("y"), (F.col("x.u") == F.col("y.v")) & (F.col("x.v") == F.col("y.u")) & (F.col("x.u") < F.col("x.v"))).select(F.col("x.v").alias("old"), F.col("x.u").alias("new"))
         moved = materialize(moved, "moved")
         if moved.isEmpty():
@@ -181,6 +191,9 @@ def merge_rounds(edges: DataFrame, nodes: DataFrame, threshold: float, *, finish
         nodes = materialize(shifted.groupBy("cluster").applyInPandas(_add, "cluster string, weight bigint, sum binary"), "nodes")
         e = edges.join(moved.toDF("a", "na"), "a", "left").join(moved.toDF("b", "nb"), "b", "left").select(F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b")).where(F.col("a") != F.col("b"))
         edges = materialize(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "graph")
+    else:
+        if edges.count() > finish_edges:
+            raise RuntimeError(f"linkage not finished after {most_rounds} rounds")
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         known = pdf[pdf["b"].isna()]
@@ -256,15 +269,10 @@ def cell_clusters(vectors: DataFrame, threshold: float, *, pivots_a_root: float
     return placed.mapInArrow(rounds, "id string, node string, weight bigint, sum binary")
 
 
-def cluster_vectors(vectors: DataFrame, *, threshold: float = 0.14, neighbours: int = 24, centres: int = 4096, least_share: float = 0.0, finish_edges: int = 500_000) -> DataFrame:
-    """(id, cluster, similarity): similarity to the nearest large centre. ``vectors``: id, v; written and read again.
-
-    Clusters below ``least_share`` of the records are not dissolved: a record of one
-    goes to the nearest larger cluster only if the linkage would have it, that is, if
-    its mean similarity to the members there reaches ``threshold``.
-    """
+def cluster_vectors(vectors: DataFrame, *, threshold: float = 0.14, close: float = 0.25, neighbours: int = 24, finish_edges: int = 500_000) -> DataFrame:
+    """(id, cluster) of every vector. ``vectors``: id, v; written and read again."""
     vectors = materialize(vectors.dropDuplicates(["id"]), "vectors")
-    cells = materialize(cell_clusters(vectors, threshold), "cells")
+    cells = materialize(cell_clusters(vectors, max(close, threshold)), "cells")
     nodes = cells.where(F.col("id").isNull()).select("node", "weight", "sum")
 
     def widen(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,45 +287,51 @@ def cluster_vectors(vectors: DataFrame, *, threshold: float = 0.14, neighbours:
     edges = near.select("a", "b").unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     label = materialize(merge_rounds(edges, nodes, threshold, finish_edges=finish_edges), "clusters")
 
-    # two levels, so a cluster of very many nodes is not summed in one task
-    part = nodes.join(label, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(16)))
-    sums = part.groupBy("cluster", "salt").applyInPandas(_add, "cluster string, weight bigint, sum binary").groupBy("cluster").applyInPandas(_add, "cluster string, weight bigint, sum binary")
-    top = sums.orderBy(F.desc("weight"), "cluster").limit(centres).collect()
-    large = [r for r in top if r["weight"] >= least_share * sum(r["weight"] for r in top)]
-    top = large or top
-    names = [r["cluster"] for r in top]
-    c = np.stack([np.frombuffer(r["sum"], "<f4") for r in top]) if top else np.zeros((0, WIDTH), np.float32)
-    length = np.linalg.norm(c, axis=1)
-    c = c / np.maximum(length[:, None], 1e-9)
-    tight = length / np.array([r["weight"] for r in top], float)  # similarity to the centre times this is the mean over the members
-    shared = vectors.sparkSession.sparkContext.broadcast((names, c, tight))  # at most ``centres`` rows
-
-    def nearest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, c, tight = shared.value
-        who = pa.array(names, pa.string())
-        for batch in it:
-            if not batch.num_rows or not len(names):
-                continue
-            s = _unpack8(_matrix(batch.column(1), WIDTH)) @ c.T
-            best = s.argmax(axis=1)
-            top = s.max(axis=1).astype(np.float64)
-            yield _arrow(id=batch.column(0), nearest=who.take(pa.array(best)), similarity=top, fits=top * tight[best] >= threshold)
-
-    known = vectors.sparkSession.createDataFrame([(x, True) for x in names], "cluster string, known boolean")
-    own = cells.where(F.col("id").isNotNull()).select("id", "node").join(label, "node").join(F.broadcast(known), "cluster", "left")
-    found = vectors.select("id", "v").mapInArrow(nearest, "id string, nearest string, similarity double, fits boolean")
-    return found.join(own, "id").select("id", F.when(F.col("known") | (F.lit(bool(large) and least_share > 0) & F.col("fits")), F.col("nearest")).otherwise(F.col("cluster")).alias("cluster"), "similarity")
+    return cells.where(F.col("id").isNotNull()).select("id", "node").join(label, "node").select("id", "cluster")
 
 
 def number_clusters(assigned: DataFrame) -> DataFrame:
-    """``assigned`` with cluster_id: 0, 1, ... by the least member id."""
-    first = assigned.groupBy("cluster").agg(F.min("id").alias("first"), F.count("*").alias("size"))
-    return assigned.join(first.withColumn("cluster_id", (F.row_number().over(W.partitionBy().orderBy("first")) - 1).cast("int")), "cluster").select("id", "cluster_id", "similarity", "size")
-
+    """(id, cluster_id, size): clusters are numbered 0, 1, ... by their least member id.
 
-def describe_clusters(assigned: DataFrame, typical: int = 5) -> DataFrame:
-    """cluster_id, size and the ids nearest to the centre, best first."""
-    numbered = number_clusters(assigned)
+    Least ids are sorted in ranges; the numbers of a range begin where the counts of
+    those before it end, so no task holds more than a range.
+    """
+    first = assigned.groupBy("cluster").agg(F.min("id").alias("first"), F.count("*").alias("size"))
+    first = materialize(first.repartitionByRange("first").withColumn("range", F.spark_partition_id()), "first")
+    before = W.partitionBy().orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # one row a range
+    starts = first.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    number = F.row_number().over(W.partitionBy("range").orderBy("first")) - 1 + F.col("start")
+    numbered = first.join(F.broadcast(starts), "range").select("cluster", "size", number.cast("int").alias("cluster_id"))
+    return assigned.join(numbered, "cluster").select("id", "cluster", "cluster_id", "size")
+
+
+def describe_clusters(assigned: DataFrame, vectors: DataFrame, typical: int = 5) -> DataFrame:
+    """cluster_id, size and the ids nearest to the centre, best first. ``vectors``: id, v."""
+    placed = materialize(number_clusters(assigned).join(vectors.dropDuplicates(["id"]), "id").select("id", "cluster_id", "size", "v"), "placed")
+
+    def sums(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:  # partial sums of a batch: a large cluster is never gathered
+            x = _unpack8(_matrix(pa.array(pdf["v"], pa.binary()), WIDTH)) if len(pdf) else np.zeros((0, WIDTH), np.float32)
+            kinds, at = np.unique(pdf["cluster_id"].to_numpy(), return_inverse=True)
+            total = np.zeros((len(kinds), WIDTH), np.float32)
+            np.add.at(total, at, x)
+            yield pd.DataFrame({"cluster": kinds.astype(str), "weight": np.bincount(at, minlength=len(kinds)).astype("int64"), "sum": [r.tobytes() for r in total]})
+
+    schema = "cluster string, weight bigint, sum binary"
+    part = placed.select("cluster_id", "v").mapInPandas(sums, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16)))
+    centres = part.groupBy("cluster", "salt").applyInPandas(_add, schema).groupBy("cluster").applyInPandas(_add, schema)
+
+    def nearness(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            if len(pdf):
+                x = _unpack8(_matrix(pa.array(pdf["v"], pa.binary()), WIDTH))
+                c = _sums(pdf["sum"])
+                pdf = pdf.assign(similarity=np.einsum("ij,ij->i", x, c) / np.maximum(np.linalg.norm(c, axis=1), 1e-9))
+            else:
+                pdf = pdf.assign(similarity=0.0)
+            yield pdf[["id", "cluster_id", "size", "similarity"]]
+
+    near = placed.join(centres.select(F.col("cluster").cast("int").alias("cluster_id"), "sum"), "cluster_id").mapInPandas(nearness, "id string, cluster_id int, size bigint, similarity double")
     rank = F.row_number().over(W.partitionBy("cluster_id").orderBy(F.desc("similarity"), "id"))
-    best = numbered.withColumn("r", rank).where(F.col("r") <= typical)
+    best = near.withColumn("r", rank).where(F.col("r") <= typical)
     return best.groupBy("cluster_id", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda x: x["id"]).alias("typical"))

@@ -42,21 +42,22 @@ def p2_fields(spark: SparkSession, d: str) -> DataFrame:
     return duplicate_fields(*near_duplicate_links(table(spark, d, "chunk").select("id", "text")))
 
 
-def _clusters(spark: SparkSession, d: str) -> DataFrame:
-    return cluster_vectors(text_vectors(table(spark, d, "chunk"), "id", "text"), least_share=0.005)
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return materialize(text_vectors(table(spark, d, "chunk"), "id", "text"), "texts")
 
 
 def p3_assignment(spark: SparkSession, d: str) -> DataFrame:
-    return number_clusters(_clusters(spark, d)).select("id", "cluster_id")
+    return number_clusters(cluster_vectors(_vectors(spark, d))).select("id", "cluster_id")
 
 
 def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return describe_clusters(materialize(_clusters(spark, d), "assigned"))
+    vectors = _vectors(spark, d)
+    return describe_clusters(cluster_vectors(vectors), vectors)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     probe = table(spark, d, "cluster_probe").select("batch", F.col("chunk_id").alias("id")).distinct()
-    return pairs_of_groups(probe.join(_clusters(spark, d), "id"), ["batch", "cluster"], "id").select("batch", "id_a", "id_b")
+    return pairs_of_groups(probe.join(cluster_vectors(_vectors(spark, d)), "id"), ["batch", "cluster"], "id").select("batch", "id_a", "id_b")
 
 
 def p4_entities(spark: SparkSession, d: str) -> DataFrame:

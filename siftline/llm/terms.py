@@ -3,61 +3,74 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline.llm.blocks import SCHEMA, block_rows, n_tasks, sum_blocks
+
 WORD = re.compile(r"[^\W\d_]{2,}")
+SLOT_BITS = 20  # of the counters of terms
 
 
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def document_frequencies(df: DataFrame, text: str, *, least: int = 3, most: int = 50_000) -> tuple[int, dict[str, int]]:
-    """(texts with a word, {term: texts that hold it}) over all rows.
+class _Hashes(dict):
+    """64-bit hashes of terms, kept between texts."""
+
+    def __missing__(self, term: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        self[term] = x = xxhash.xxh64_intdigest(term)
+        return x
+
+
+_hashes = _Hashes()
+
+
+def term_hashes(terms: list[str]) -> np.ndarray:
+    return np.fromiter(map(_hashes.__getitem__, terms), np.uint64, len(terms))
+
 
-    Terms below ``least`` texts are left out; at most ``most`` terms, the most
-    frequent, reach the driver, so the vocabulary has a fixed bound.
+def slots(hashes: np.ndarray) -> np.ndarray:
+    """The counter of each term."""
+    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def document_frequencies(df: DataFrame, text: str) -> tuple[int, np.ndarray]:
+    """(texts with a word, texts that hold a term, by counter) over all rows.
+
+    Every term of every text counts, in 2 ** SLOT_BITS counters: a table of fixed size
+    whatever the vocabulary. Terms that share a counter share its sum.
     """
+    size = 1 << SLOT_BITS
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(size + 1, np.int64)
+        for batch in it:
+            found = [list(ws) for t in batch.column(0).to_pylist() if (ws := set(words(t)))]
+            seen[size] += len(found)
+            if found:
+                seen[:size] += np.bincount(slots(term_hashes([w for ws in found for w in ws])), minlength=size)
+        yield block_rows(seen.astype("<i8"), 8192)
+
+    rows = df.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
+    seen = sum_blocks(rows.mapInArrow(count, SCHEMA), "<i8", 8192, size + 1, n_tasks(rows))
+    return int(seen[size]), seen[:size]
+
 
-    def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, n = Counter(), 0
-        for pdf in it:
-            for t in pdf["text"]:
-                if ws := set(words(t)):
-                    seen.update(ws)
-                    n += 1
-            if len(seen) > 500_000:
-                yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
-                seen = Counter()
-        yield pd.DataFrame({"term": ["", *seen], "n": [n, *seen.values()]})
-
-    rows = df.where(F.col(text).isNotNull()).select(F.col(text).alias("text")).mapInPandas(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    kept = rows.where((F.col("n") >= least) | (F.col("term") == "")).orderBy(F.desc(F.col("term") == ""), F.desc("n"), "term").limit(most + 1).collect()
-    total = next((r["n"] for r in kept if r["term"] == ""), 0)
-    return total, {r["term"]: r["n"] for r in kept if r["term"]}
-
-
-def sign_rows(terms: list[str], width: int = 128) -> np.ndarray:
+def sign_rows(hashes: np.ndarray, width: int = 128) -> np.ndarray:
     """One row of +1/-1 a term, its own hash bits: a random projection that needs no fitting."""
-    bits = [np.frombuffer(b"".join(xxhash.xxh3_128_digest(t, seed=s) for s in range(-(-width // 128))), np.uint8) for t in terms]
-    if not bits:
-        return np.zeros((0, width), np.float32)
-    return (np.unpackbits(np.stack(bits), axis=1)[:, :width].astype(np.float32) * 2 - 1) / np.sqrt(width)
-
-
-def weigh(counts: Counter, index: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(term numbers, weights of unit length) of one text."""
-    k = np.fromiter((i for w in counts if (i := index.get(w, -1)) >= 0), np.int64)
-    if not len(k):
-        return k, np.zeros(0, np.float32)
-    tf = np.fromiter((n for w, n in counts.items() if w in index), np.float32, len(k))
-    w = np.log1p(tf) * idf[k]
-    norm = float(np.sqrt((w * w).sum()))
-    return (k, w / norm) if norm > 0 else (k[:0], np.zeros(0, np.float32))
+    out = np.empty((len(hashes), -(-width // 64)), np.uint64)
+    for k in range(out.shape[1]):
+        x = (hashes + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out[:, k] = x ^ (x >> np.uint64(31))
+    bits = np.unpackbits(out.view(np.uint8), axis=1)[:, :width]
+    return (bits.astype(np.float32) * 2 - 1) / np.float32(np.sqrt(width))

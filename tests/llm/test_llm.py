@@ -192,13 +192,15 @@ def topics(n=240, seed=2):
 def test_clusters_find_topics(spark):
     data = topics()
     df = spark.createDataFrame([(i, t) for i, t, _ in data] + [("null", None), ("empty", ""), ("t000", data[0][1])], "id string, text string")
-    out = C.number_clusters(C.cluster_vectors(C.text_vectors(df, "id", "text")))
-    got = dict(rows(out, "id", "cluster_id"))
+    vectors = C.text_vectors(df, "id", "text")
+    out = C.cluster_vectors(vectors)
+    got = dict(rows(C.number_clusters(out), "id", "cluster_id"))
     assert len(got) == len(data) and {len({got[i] for i, _, k in data if k == j}) for j in range(4)} == {1} and len(set(got.values())) == 4
-    assert got["t000"] == 0
-    d = {r["cluster_id"]: (r["size"], len(r["typical"])) for r in C.describe_clusters(C.cluster_vectors(C.text_vectors(df, "id", "text"))).collect()}
-    assert set(d.values()) == {(60, 5)}
-    assert C.cluster_vectors(C.text_vectors(df.where("false"), "id", "text")).count() == 0
+    assert got["t000"] == 0 and [got[f"t{i:03d}"] for i in range(4)] == [0, 1, 2, 3]
+    d = {r["cluster_id"]: (r["size"], len(set(r["typical"]))) for r in C.describe_clusters(out, vectors).collect()}
+    assert set(d.values()) == {(60, 5)} and len(d) == 4
+    none = C.text_vectors(df.where("false"), "id", "text")
+    assert C.cluster_vectors(none).count() == 0 and C.describe_clusters(C.cluster_vectors(none), none).count() == 0
 
 
 def test_small_matters_stay_apart(spark):
@@ -206,11 +208,21 @@ def test_small_matters_stay_apart(spark):
     rng = random.Random(4)
     small = [(f"z{i}", " ".join(rng.choice([f"kleine{c}sache" for c in "abcdefghij"]) for _ in range(30))) for i in range(6)]
     df = spark.createDataFrame([(i, t) for i, t, _ in data] + small, "id string, text string")
-    of = dict(rows(C.cluster_vectors(C.text_vectors(df, "id", "text"), least_share=0.05), "id", "cluster"))
+    of = dict(rows(C.cluster_vectors(C.text_vectors(df, "id", "text")), "id", "cluster"))
     assert len({of[i] for i, _ in small}) == 1 and of["z0"] not in {of[i] for i, *_ in data}
     assert {len({of[i] for i, _, k in data if k == j}) for j in range(4)} == {1}
 
 
+def test_a_thousand_topics(spark):
+    rng = random.Random(6)
+    letters = lambda i: "".join(chr(97 + int(c)) for c in f"{i:04d}")
+    data = [(f"t{i:05d}", " ".join(f"topic{letters(i % 1000)}{rng.choice('abcdefgh')}" for _ in range(25)), i % 1000) for i in range(5000)]
+    df = spark.createDataFrame([(i, t) for i, t, _ in data], "id string, text string")
+    of = {k: dict(rows(C.cluster_vectors(C.text_vectors(df, "id", "text"), threshold=0.5, finish_edges=k), "id", "cluster")) for k in (500_000, 20_000)}
+    assert of[500_000] == of[20_000]
+    assert len(set(of[500_000].values())) == 1000 and all(len({of[500_000][i] for i, _, k in data if k == j}) == 1 for j in range(0, 1000, 50))
+
+
 def test_rounds_agree(spark):
     rng = np.random.default_rng(4)
     x = np.repeat(np.eye(8, 128), 5, axis=0) + 0.05 * rng.normal(size=(40, 128))
