@@ -75,18 +75,19 @@ def mixture_targets(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         .crossJoin(total)  # one row
         .select(
             "source", "label", "weight", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), "all_tokens",
-            have.alias("available_tokens"), need.alias("target_tokens"), F.least(have.cast("double"), need).alias("planned_tokens"), (have >= need).alias("reachable"),
+            have.alias("available_tokens"), need.alias("target_tokens"), F.least(have.cast("double"), need).alias("planned_tokens"),
         )
     )
 
 
 def mixture_report(sizes: DataFrame, targets: DataFrame, **options) -> DataFrame:
-    """``mixture_targets`` with what the schedule gave: tokens, documents, most occurrences of one, blocks, actual share."""
+    """``mixture_targets`` with what the schedule gave: tokens, documents, most occurrences of one, blocks, whether the target is reached, actual share."""
     mix = mix_sources(sizes, targets, **options)
     once = mix.groupBy("source", "doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("times"), F.max("block").alias("block"))
     got = once.groupBy(F.col("source").alias("label")).agg(F.sum("n_tokens").alias("mixed_tokens"), F.sum("times").alias("mixed_documents"), F.max("times").cast("int").alias("most_repeats"), (F.max("block") + 1).alias("blocks"))
     full = mixture_targets(sizes, targets).join(got, "label", "left")
     full = full.select(*[c for c in full.columns if c not in got.columns], "label", *[F.coalesce(c, F.lit(0)).alias(c) for c in got.columns if c != "label"])
+    full = full.withColumn("reachable", F.col("mixed_tokens") >= F.col("target_tokens"))
     return full.withColumn("actual_share", F.coalesce(F.try_divide(F.col("mixed_tokens").cast("double"), F.sum("mixed_tokens").over(W.partitionBy())), F.lit(0.0)))  # one row a target
 
 
