@@ -9,7 +9,7 @@ from siftline.llm.clustering import cluster_vectors, describe_clusters, number_c
 from siftline.llm.components import pairs_of_groups
 from siftline.llm.knn import k_nearest
 from siftline.llm.mixture import mix_sources, mixture_report
-from siftline.llm.names import learn_common, link_names, name_pairs
+from siftline.llm.names import learn_common, learn_short_forms, link_names, name_pairs
 from siftline.llm.near_duplicates import duplicate_fields, near_duplicate_links, near_duplicate_pairs
 from siftline.llm.pii import given_names, mask_pii, pii_findings
 from siftline.llm.splitting import split_oversized, word_count
@@ -62,10 +62,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_entities(spark: SparkSession, d: str) -> DataFrame:
     vertices = table(spark, d, "vertex").select("id", "name", "type", "description", "aliases")
-    mentions = table(spark, d, "extracted_entity").select("name", "type")
-    known = vertices.select("name", "type").unionByName(mentions).select(F.trim("name").alias("name"), F.upper(F.trim("type")).alias("type")).distinct()
+    mentions = table(spark, d, "extracted_entity").select("name", "type", "description", "aliases")
+    read = vertices.drop("id").unionByName(mentions).select(F.trim("name").alias("name"), F.upper(F.trim("type")).alias("type"), "description", "aliases")
+    known = read.select("name", "type").distinct()
     common = learn_common(known.where(F.col("type").isin("ORGANIZATION", "LOCATION", "PRODUCT")).select("name", F.lit(False).alias("person")), least=5)
-    return link_names(vertices.where(F.col("id").isNotNull()), given_names(known.where(F.col("type") == "PERSON")), common)
+    given = given_names(known.where(F.col("type") == "PERSON"))
+    return link_names(vertices.where(F.col("id").isNotNull()), given, common, learn_short_forms(read, given, common))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

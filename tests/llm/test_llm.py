@@ -274,6 +274,25 @@ def test_names_of_one_entity(spark):
     assert N.name_pairs(N.link_names(df.where("false"), [], [])).count() == 0
 
 
+def test_short_forms_are_learned(spark):
+    cores = ["Vomilintor", "Gahanrubi", "Teltadru", "Sadibanar", "Tuganobe", "Kesefarin"]
+    data = [(f"{g} {c}", f"keeper of file {i}", None) for i, c in enumerate(cores[:3]) for g in ("Robert", "Bob")]
+    data += [(f"Robert {c}", None, [f"Bob {c}"]) for c in cores[3:5]] + [(f"Clara {c}", "", None) for c in cores] + [(f"{g} {cores[5]}", "same words", None) for g in ("Clara", "Omar")]
+    data += [(f"Robert {c}", f"other {c}", None) for c in cores] + [(None, "x", None), (" ", None, None)]
+    df = spark.createDataFrame(data, "name string, description string, aliases array<string>")
+    assert N.learn_short_forms(df, ["Robert", "Bob", "Clara", "Omar"], []) == {"bob": "robert"}
+    assert N.learn_short_forms(df.where("false"), [], []) == {}
+    one = spark.createDataFrame([("a", "Robert Vomilintor", ""), ("b", "Bob Vomilintor", ""), ("c", "Clara Vomilintor", "")], "id string, name string, description string")
+    e = dict(rows(N.link_names(one, ["Robert", "Bob", "Clara"], [], {"bob": "robert"}), "id", "entity"))
+    assert e["a"] == e["b"] != e["c"]
+
+
+def test_a_name_written_very_often(spark):
+    names = [(f"h{i:04d}", "Clara Vomilintor", "") for i in range(3000)] + [(f"b{i}", "Vomilintor", "") for i in range(3)] + [("o", "Omar Vomilintor", "")]
+    e = dict(rows(N.link_names(spark.createDataFrame(names, "id string, name string, description string"), ["Clara", "Omar"], []), "id", "entity"))
+    assert len({v for k, v in e.items() if k[0] == "h"}) == 1 and len(set(e.values())) == 5
+
+
 def test_aliases_unite_entities(spark):
     data = [
         ("t1", "Grabrenelvin Direct", ["Mubervorte Food Company LLC", "the company"]),
