@@ -10,8 +10,8 @@ ranked again by exact cosine similarity.
 Pivots are sampled from the vectors themselves, so dense regions have as many more
 pivots as they have vectors and files stay of even length; vectors of one
 direction are one class and are indexed once. Files expected to exceed ``block``
-entries (by a bounded sample) are laid out in blocks: entries spread over blocks,
-queries visit every block.
+entries (by a bounded sample) are laid out in blocks, of entries and of queries, and
+each pair of blocks is met under a key of its own.
 
 Defined results: a vector is usable if it has ``dim`` finite values, not all zero;
 length does not matter. Of ties at the k-th place the lower id comes first. Equal
@@ -35,6 +35,7 @@ from siftline.llm.near_duplicates import _arrow, _binary, _matrix
 from siftline.sources.shared import materialize
 
 STEPS = 2047  # 12 bits a component
+SALTS = 32
 
 
 def packed_width(dim: int) -> int:
@@ -98,16 +99,17 @@ def footrule_agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     absolute weight differences, length * (length + 1) - 2 * sum of least weights.
     """
     n = a.shape[1]
-    out = np.zeros((len(a), len(b)), np.int8)
+    kind = np.int8 if n * (n + 1) // 2 < 128 else np.int16
+    out = np.zeros((len(a), len(b)), kind)
     for i in range(n):
         for j in range(n):
-            out += (a[:, i, None] == b[None, :, j]) * np.int8(n - max(i, j))
+            out += (a[:, i, None] == b[None, :, j]) * kind(n - max(i, j))
     return out
 
 
 def k_nearest_classes(
-    vectors: DataFrame, dim: int, *, drawn_from: Callable | None = None, n: int | None = None, k: int = 10, min_similarity: float = -1.0, pivots_a_root: float = 12.0, least_pivots: int = 64, most_pivots: int = 16384,
-    length: int = 4, rerank: int = 256, block: int = 8192, sample: int = 16384,
+    vectors: DataFrame, dim: int, *, drawn_from: Callable | None = None, n: int | None = None, k: int = 10, min_similarity: float = -1.0, pivots_a_root: float = 12.0, least_pivots: int = 64, most_pivots: int = 65_536,
+    length: int = 4, rerank: int = 256, block: int = 8192, sample: int = 65_536,
 ) -> DataFrame:
     """(a, b, similarity): up to k nearest distinct directions b of each direction a.
 
@@ -143,40 +145,44 @@ def k_nearest_classes(
             cell, spread = lists.ravel(), salts[lists.ravel()]
             home = (row * 2654435761 % (1 << 31)) % spread
             many = spread > 1
-            if many.any():  # a query visits every block of the file, an entry lies in one
+            if many.any():  # in a file of several blocks every block of queries meets every block of entries under a key of its own
                 again = np.repeat(np.flatnonzero(many), spread[many])
-                salt = np.concatenate([np.arange(s) for s in spread[many]])
+                other = np.concatenate([np.arange(k) for k in spread[many]])
+                own = home[again]
+                ask, give = (own << 20) | other, (other << 20) | own
+                flag = np.r_[np.full((~many).sum(), 3), np.where(other == own, 3, 2), np.ones((other != own).sum(), int)]
+                pair = np.r_[np.zeros((~many).sum(), int), ask, give[other != own]]
+                again = np.r_[again, again[other != own]]
                 row, cell = np.r_[row[~many], row[again]], np.r_[cell[~many], cell[again]]
-                entry = np.r_[np.ones((~many).sum(), bool), salt == home[again]]
-                salt = np.r_[np.zeros((~many).sum(), int), salt]
             else:
-                entry, salt = np.ones(len(row), bool), np.zeros(len(row), int)
-            yield _arrow(cell=(cell.astype(np.int64) << 20) | salt, entry=entry, id=batch.column(0).take(pa.array(row)), v=_binary(np.hstack([m[row], lists[row].astype("<i2").view(np.uint8)])))
+                flag, pair = np.full(len(row), 3), np.zeros(len(row), int)
+            yield _arrow(cell=(cell.astype(np.int64) << 40) | pair, role=flag.astype(np.int8), id=batch.column(0).take(pa.array(row)), v=_binary(np.hstack([m[row], lists[row].astype("<u2").view(np.uint8)])))
 
     def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def solve(cells: np.ndarray, entry: np.ndarray, ids: np.ndarray, m: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def solve(cells: np.ndarray, role: np.ndarray, ids: np.ndarray, m: np.ndarray) -> Iterator[pa.RecordBatch]:
             starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
             got: list[tuple] = []
             for s, e in zip(starts, np.r_[starts[1:], len(cells)]):
                 if e - s < 2:
                     continue
                 part = np.ascontiguousarray(m[s:e])
-                x, lists = unpack_rows(part[:, :width], dim), part[:, width:].copy().view("<i2")
-                is_entry = np.flatnonzero(entry[s:e])
+                x, lists = unpack_rows(part[:, :width], dim), part[:, width:].copy().view("<u2")
+                is_entry, is_query = np.flatnonzero(role[s:e] & 1), np.flatnonzero(role[s:e] & 2)
                 y, ylists = x[is_entry], lists[is_entry]
-                here = cells[s] >> 20
+                here = cells[s] >> 40
                 before = np.cumsum(lists == here, axis=1) == 0  # pivots nearer than this one
-                for q in range(0, len(x), 1024):
-                    a, al = x[q : q + 1024], lists[q : q + 1024]
+                for q in range(0, len(is_query), 1024):
+                    who = is_query[q : q + 1024]
+                    a, al = x[who], lists[who]
                     rank = footrule_agreement(al, ylists)
                     for i in range(length):  # a pair is ranked in the file of the first pivot they share
-                        rows = np.flatnonzero(before[q : q + 1024, i])
+                        rows = np.flatnonzero(before[who, i])
                         if len(rows):
                             rank[rows] *= ~(al[rows, i, None, None] == ylists[None]).any(axis=2)
                     sim = a @ y.T
-                    sim[np.arange(len(a))[:, None] + q == is_entry[None]] = -2
+                    sim[who[:, None] == is_entry[None]] = -2
                     if rank.shape[1] > rerank:
                         edge = np.partition(rank, rank.shape[1] - rerank, axis=1)[:, -rerank, None]
                         sim[rank < np.maximum(edge, 1)] = -2
@@ -187,7 +193,7 @@ def k_nearest_classes(
                     else:
                         keep = sim >= max(min_similarity, -1.5)
                     i, j = np.nonzero(keep)
-                    got.append((ids[s + q + i], ids[s + is_entry[j]], sim[i, j]))
+                    got.append((ids[s + who[i]], ids[s + is_entry[j]], sim[i, j]))
             if got:
                 yield _arrow(a=pa.array(np.concatenate([g[0] for g in got]), pa.string()), b=pa.array(np.concatenate([g[1] for g in got]), pa.string()), similarity=np.concatenate([g[2] for g in got]).astype(np.float32))
 
@@ -212,7 +218,7 @@ def k_nearest_classes(
         if held:
             yield from gathered(None)
 
-    posts = vectors.select("id", "v").mapInArrow(post, "cell bigint, entry boolean, id string, v binary")
+    posts = vectors.select("id", "v").mapInArrow(post, "cell bigint, role tinyint, id string, v binary")
     found = posts.repartition("cell").sortWithinPartitions("cell").mapInArrow(search, "a string, b string, similarity float")
     best = found.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
     rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("similarity"), "b"))
@@ -227,14 +233,19 @@ def k_nearest(df: DataFrame, *, id: str = "id", vector: str = "embedding", dim:
     few = lambda part: pack_directions(df.where(part(F.col(id).cast("string"))), id, vector, dim)
     near = k_nearest_classes(classes, dim, drawn_from=few, n=df.where(F.col(vector).isNotNull()).count(), k=k, min_similarity=min_similarity, **options)
     # Ids of one direction: most directions have one id and stand for themselves.
-    members = packed.select(F.xxhash64("v").alias("h"), "id").distinct()
+    members = packed.select(F.unhex(F.md5("v")).alias("h"), "id").distinct()
     shared = members.groupBy("h").agg(F.min("id").alias("class"), F.count("*").alias("copies")).where(F.col("copies") > 1)
-    copies = materialize(members.join(shared, "h").select("class", "id"), "copies")
+    # copies of one direction are spread over SALTS keys, so a vector repeated very often is no hot key
+    copies = materialize(members.join(shared, "h").select("class", "id", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")), "copies")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     # of a class, its least k + 1 ids suffice to fill any list
-    first = copies.withColumn("_r", F.row_number().over(W.partitionBy("class").orderBy("id"))).where(F.col("_r") <= k + 1).select("class", F.col("id").alias("other"))
-    own = copies.join(first, "class").select("id", F.col("other").alias("neighbour_id"), F.lit(1.0).cast("float").alias("similarity"))
+    first = materialize(copies.withColumn("_r", F.row_number().over(W.partitionBy("class").orderBy("id"))).where(F.col("_r") <= k + 1).select("class", F.col("id").alias("other")), "first")
+    own = copies.join(first.select("class", "other", salts), ["class", "salt"]).select("id", F.col("other").alias("neighbour_id"), F.lit(1.0).cast("float").alias("similarity"))
     wide = near.join(first.withColumnRenamed("class", "b"), "b", "left").select("a", F.coalesce("other", "b").alias("neighbour_id"), "similarity")
-    wide = wide.join(copies.withColumnRenamed("class", "a"), "a", "left").select(F.coalesce("id", "a").alias("id"), "neighbour_id", "similarity")
+    wide = wide.join(first.select(F.col("class").alias("a"), F.lit(SALTS).alias("n")).distinct(), "a", "left")
+    single = wide.where(F.col("n").isNull()).select(F.col("a").alias("id"), "neighbour_id", "similarity")
+    several = wide.where(F.col("n").isNotNull()).select(F.col("a").alias("class"), "neighbour_id", "similarity", salts)
+    wide = single.unionByName(several.join(copies, ["class", "salt"]).select("id", "neighbour_id", "similarity"))
     rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "neighbour_id"))
     lists = own.unionByName(wide).where(F.col("id") != F.col("neighbour_id"))
     return lists.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "neighbour_id", "similarity", "rank")

@@ -38,7 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from siftline.llm.near_duplicates import _arrow, _binary
+from siftline.llm.blocks import SCHEMA, block_rows, n_tasks, sum_blocks
+from siftline.llm.near_duplicates import _arrow
 from siftline.llm.terms import WORD
 from siftline.sources.shared import materialize
 
@@ -175,26 +176,15 @@ def _batches(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, _Ba
 
 
 def _add_blocks(df: DataFrame, fill, rows: int, width: int) -> np.ndarray:
-    """Sum over all partitions of a ``rows`` x ``width`` matrix that ``fill`` adds to, block by block."""
+    """Sum over all partitions of a ``rows`` x ``width`` matrix that ``fill`` adds to, block by block and in levels."""
 
     def part(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((rows, width), np.float32)
         for batch, b in _batches(it):
             fill(total, batch, b)
-        n = -(-rows // BLOCK)
-        full = np.zeros((n * BLOCK, width), np.float32)
-        full[:rows] = total
-        used = np.flatnonzero(np.abs(full.reshape(n, -1)).sum(axis=1))
-        yield _arrow(block=used.astype(np.int32), x=_binary(full.reshape(n, -1)[used].view(np.uint8).reshape(len(used), BLOCK * width * 4)))
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = sum(np.frombuffer(v, "<f4").astype(np.float64) for v in pdf["x"])
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "x": [x.astype("<f4").tobytes()]})
-
-    out = np.zeros((-(-rows // BLOCK) * BLOCK, width), np.float32)
-    for r in df.mapInArrow(part, "block int, x binary").groupBy("block").applyInPandas(add, "block int, x binary").collect():
-        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["x"], "<f4").reshape(BLOCK, width)
-    return out[:rows]
+        yield block_rows(total.ravel().astype("<f4"), BLOCK * width)
+
+    return sum_blocks(df.mapInArrow(part, SCHEMA), "<f4", BLOCK * width, rows * width, n_tasks(df)).reshape(rows, width)
 
 
 def _truncated_svd(encoded: DataFrame, weight: np.ndarray, rank: int, passes: int, start: np.ndarray | None = None) -> np.ndarray:

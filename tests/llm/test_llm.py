@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from siftline.llm import blocks as B
 from siftline.llm import clustering as C
 from siftline.llm import components as G
 from siftline.llm import knn as K
@@ -70,6 +71,22 @@ def test_knn_blocks_and_copies(spark):
     assert of == ["c000", "c001", "c002"]  # ties by id
 
 
+def test_a_hot_file_is_met_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    x = np.array([1.0, 2.0, 3.0, 4.0]) + 0.02 * rng.normal(size=(150, 4))  # all of one file, some fifteen blocks
+    df = spark.createDataFrame([(f"v{i:03d}", [float(a) for a in r]) for i, r in enumerate(x)] + [(f"z{i:03d}", [float(a) for a in x[0]]) for i in range(40)], "id string, embedding array<double>")
+    got = K.k_nearest(df, dim=4, k=3, block=10, least_pivots=1, pivots_a_root=0.01, rerank=1000).collect()
+    lists = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        lists.setdefault(r["id"], []).append(r["neighbour_id"])
+    back = K.unpack_rows(K.pack_rows(np.r_[x, np.tile(x[0], (40, 1))]), 4)
+    ids = [f"v{i:03d}" for i in range(150)] + [f"z{i:03d}" for i in range(40)]
+    s = np.round(back.astype(np.float64) @ back.T.astype(np.float64), 7)
+    hits = sum(len(set(lists[ids[i]]) & {ids[j] for j in sorted((j for j in range(190) if j != i), key=lambda j: (-s[i, j], ids[j]))[:3]}) for i in range(190))
+    assert len(lists) == 190 and all(len(v) == 3 for v in lists.values()) and hits >= 0.95 * 3 * 190
+    assert lists["z039"] == ["v000", "z000", "z001"] and lists["v000"] == ["z000", "z001", "z002"]
+
+
 def test_packing_and_footrule():
     x = np.random.default_rng(1).normal(size=(50, 7))
     back = K.unpack_rows(K.pack_rows(x), 7)
@@ -436,6 +453,17 @@ def test_encode_corpus(spark, reference_tokenizer):
 # --- problem 8 --------------------------------------------------------------
 
 
+def test_sums_in_levels(spark):
+    def part(it):
+        for _ in it:
+            pass
+        yield B.block_rows(np.arange(1000, dtype="<i8") % 7, 64)
+
+    df = spark.range(0, 400, numPartitions=150)
+    got = B.sum_blocks(df.mapInArrow(part, B.SCHEMA), "<i8", 64, 1000, B.n_tasks(df))
+    assert B.n_tasks(df) == 150 and (got == 150 * (np.arange(1000) % 7)).all()
+
+
 def test_edf_stays_within_a_block():
     blocks = {"a": 50, "b": 31, "c": 17, "d": 2, "e": 0}
     slots = M.edf_slots(blocks)
