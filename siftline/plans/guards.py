@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftline.functions import text as X
+from siftline.functions.checks import verhoeff_steps
 from siftline.operators import guardrails as R
 from siftline.plans.ingest import CHUNKS, chunks
 from siftline.sources.tables import table
@@ -35,7 +36,39 @@ def fn1_injection_rules(spark, d):
     return questions(spark, d).select("id", R.injection_rules(F.col("question")).alias("rules"))
 
 
-@query()
+def _digits_sql(x: str) -> str:
+    return f"regexp_replace({x}, '[^0-9]', '', 'g')"
+
+
+def _verhoeff_sql(x: str) -> str:
+    """Verhoeff's check of the digits of ``x`` by one table of states, as DuckDB SQL."""
+    steps = "".join(str(v) for step in verhoeff_steps() for v in step)
+    digits = f"list_transform(string_split(reverse({_digits_sql(x)}), ''), lambda c: c::int)"
+    places = f"list_transform(list_zip({digits}, range(len({_digits_sql(x)}))), lambda z: z[1] + 100 * (z[2] % 8))"
+    return f"list_reduce(list_concat([0::bigint], {places}), lambda st, z: substr('{steps}', (z + 10 * st + 1)::int, 1)::bigint) = 0"
+
+
+def _luhn_sql(x: str) -> str:
+    d = f"reverse({_digits_sql(x)})"
+    return f"list_sum(list_transform(range(len({d})), lambda i: case when i % 2 = 0 then substr({d}, (i + 1)::int, 1)::int else (2 * substr({d}, (i + 1)::int, 1)::int) // 10 + (2 * substr({d}, (i + 1)::int, 1)::int) % 10 end)) % 10 = 0"
+
+
+def _mask_sql(c: str) -> str:
+    """``mask_pii`` of a column, type after type, as DuckDB SQL."""
+    for kind, pattern in R.PATTERNS.items():
+        check = {"CREDIT_CARD": _luhn_sql, "IN_AADHAAR": _verhoeff_sql}.get(kind)
+        if check:
+            good = f"list_filter(list_distinct(regexp_extract_all({c}, '{pattern}')), lambda m: {check('m')})"
+            c = f"list_reduce(list_concat([{c}], {good}), lambda t, m: replace(t, m, '<{kind}>'))"
+        else:
+            c = f"regexp_replace({c}, '{pattern}', '<{kind}>', 'g')"
+    return c
+
+
+NUMBERS_SQL = f"select id, unnest(regexp_extract_all(text, '{R.PATTERNS['IN_AADHAAR']}')) as number from {CHUNKS}"
+
+
+@query(f"select id, number, {_verhoeff_sql('number')} as valid from ({NUMBERS_SQL})")
 def fn2_verhoeff(spark, d):
     found = chunks(spark, d).select("id", F.explode(F.regexp_extract_all("text", F.lit(f"({R.PATTERNS['IN_AADHAAR']})"), F.lit(1))).alias("number"))
     return found.select("id", "number", R.verhoeff_valid(F.regexp_replace("number", "[^0-9]", "")).alias("valid"))
@@ -56,7 +89,7 @@ def fn5_mask_plain(spark, d):
     return chunks(spark, d).where(F.col("text").isNotNull()).select("id", F.md5(t).alias("hash"))
 
 
-@query()
+@query(f"select id, {_mask_sql('text')} as masked from {CHUNKS}")
 def fn5_pii_mask(spark, d):
     return chunks(spark, d).select("id", R.mask_pii(F.col("text")).alias("masked"))
 
@@ -106,7 +139,10 @@ def fn8_strip_citations(spark, d):
     return answers(spark, d).select("id", F.md5(X.strip_citations(F.col("answer"))).alias("hash"))
 
 
-@query()
+BLANK = r"[ \t\r\n\x0B\f]"
+
+
+@query(rf"""select id, len(list_filter(string_split(regexp_replace(regexp_replace(text, '^{BLANK}+|{BLANK}+$', '', 'g'), '([.!?]){BLANK}+([A-Z0-9\[("''])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: x <> ''))::int as n from {CHUNKS} where text is not null""")
 def fn9_sentences(spark, d):
     return chunks(spark, d).where(F.col("text").isNotNull()).select("id", F.size(X.sentences(F.col("text"))).alias("n"))
 
@@ -203,13 +239,20 @@ def grd4_groundedness(spark, d):
     return share.select("id", "sentence", (F.col("share") >= 0.5).alias("supported"))
 
 
-@query()
+@query(f"select id, {_mask_sql('text')} as served from {CHUNKS}")
 def grd6_served_copies(spark, d):
     """What is served of each chunk with the guard on; the stored text stays."""
     return chunks(spark, d).select("id", F.coalesce(R.mask_pii(F.col("text")), F.when(F.col("text").isNotNull(), F.lit(X.WITHHELD))).alias("served"))
 
 
-@query()
+def _types_sql(c: str) -> str:
+    """Number of types with a valid match in a column, as DuckDB SQL."""
+    checks = {"CREDIT_CARD": _luhn_sql, "IN_AADHAAR": _verhoeff_sql}
+    has = [f"(len(list_filter(regexp_extract_all({c}, '{p}'), lambda m: {checks[k]('m') if k in checks else 'true'})) > 0)::int" for k, p in R.PATTERNS.items()]
+    return " + ".join(has)
+
+
+@query(f"select id, {_mask_sql('question')} as question, ({_types_sql('question')})::int as types from {QUESTIONS}")
 def grd7_masked_queries(spark, d):
     return questions(spark, d).select("id", R.mask_pii(F.col("question")).alias("question"), R.pii_counts(F.col("question")).alias("found")).select("id", "question", F.size("found").alias("types"))
 
