@@ -38,8 +38,8 @@ def roots(links: DataFrame, *, most_rounds: int = 40) -> DataFrame:
         nxt = materialize(at.join(up, "root", "left").select("id", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")), "roots")
         at = nxt.select("id", "root", "depth")
         if nxt.where("moved").isEmpty():
-            break
-    return at
+            return at
+    raise RuntimeError(f"links not resolved after {most_rounds} rounds")
 
 
 def orphans(chunks: DataFrame, replaced: DataFrame) -> DataFrame:

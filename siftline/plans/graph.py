@@ -181,13 +181,16 @@ def kg18_vertex_matching(spark, d):
 CITES_SQL = "(select 'c' || o_custkey as key, o_orderkey::varchar as chunk_id from orders)"
 
 
-@query(f"""{UP_SQL}, s as (select h.query_id, c.chunk_id, 1.0 / (1 + h.hop) as s, v.name from h join {CITES_SQL} c using (key) join {VERTEX_SQL} v using (key)), g as (select query_id, chunk_id, round(sum(s), 4)::double as score, list(distinct name) as via from s group by 1, 2)
+@query(f"""{UP_SQL}, s as (select h.query_id, c.chunk_id, 1.0 / (1 + h.hop) as s, v.name from h join {CITES_SQL} c using (key) join {VERTEX_SQL} v using (key)), t as (select query_id, chunk_id, s, name from s union all select a.query_id, o.o_orderkey::varchar, 1.0 / (1 + greatest(a.hop, b.hop)), null from orders o join customer on c_custkey = o_custkey join h a on a.key = 'c' || c_custkey join h b on b.key = 'n' || c_nationkey and b.query_id = a.query_id),
+  g as (select query_id, chunk_id, round(sum(s), 4)::double as score, list(distinct name) filter (where name is not null) as via from t group by 1, 2)
   select query_id, chunk_id, score, via, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank from g""")
 def agg9_evidence(spark, d):
     hops = G.neighbourhood(sparse_edges(spark, d), _regions(spark, d), 2, limit=10**9)
     cites = table(spark, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("key"), F.col("o_orderkey").cast("string").alias("chunk_id")).join(sparse_vertices(spark, d).select("key", "name"), "key")
-    none = cites.limit(0).select(F.col("key").alias("source"), F.col("key").alias("target"), "chunk_id")
-    return G.evidence(cites, none, hops)
+    # an order is evidence for its customer and for the edge from the customer to its nation
+    placed = table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("key"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("target"))
+    edges = cites.join(placed, "key").select(F.col("key").alias("source"), "target", "chunk_id")
+    return G.evidence(cites, edges, hops)
 
 
 @query(f"""{UP_SQL}, e as (select a.query_id, x.name as source, e.relation, y.name as target, greatest(a.hop, b.hop) as hop from {EDGE_SQL} e join h a on a.key = e.source join h b on b.key = e.target and b.query_id = a.query_id join {VERTEX_SQL} x on x.key = e.source join {VERTEX_SQL} y on y.key = e.target)

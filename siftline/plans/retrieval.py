@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from siftline.functions import vectors as V
-from siftline.operators import clusters, corpus, retrieval
+from siftline.operators import clusters, corpus, dedup, retrieval
 from siftline.plans.ingest import CHUNKS, DOCS, chunks, documents
 from siftline.sources.tables import table
 
@@ -64,6 +64,20 @@ def jn7_best_earlier(spark, d):
     return V.exact_top_k(asked(e), e, 1, earlier=True).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
 
 
+@query(f"""with old as (select a.vec_id as id, coalesce(case when b.vec_id % 7 = 0 and b.vec_id > 0 then b.vec_id - 1 end, b.vec_id) as parent, {DOT} as s from embeddings a join embeddings b on b.vec_id % 20 <> 0 where a.vec_id % 20 = 0 qualify row_number() over (partition by a.vec_id order by round({DOT}, 9) desc, b.vec_id) = 1),
+  new as (select a.vec_id as id, b.vec_id as parent, {DOT} as s from embeddings a join embeddings b on a.vec_id > b.vec_id and b.vec_id % 20 = 0 where a.vec_id % 20 = 0 qualify row_number() over (partition by a.vec_id order by round({DOT}, 9) desc, b.vec_id) = 1),
+  l as (select coalesce(o.id, n.id) as id, n.s is not null and (o.s is null or n.s > o.s) as by_batch, o.parent as op, o.s as os, n.parent as np, n.s as ns from (select * from old where s >= 0.3) o full join (select * from new where s >= 0.3) n on n.id = o.id)
+  select id, case when by_batch then 'batch' else 'existing' end as source, case when by_batch then np else op end as parent, round(case when by_batch then ns else os end, 6) as similarity from l""")
+def jn8_link_batch(spark, d):
+    """Rows of the stated query set arrive as a batch and are linked to earlier rows of it or to stored rows and their roots."""
+    e = embeddings(spark, d).select("id", "v")
+    batch, stored = asked(e), e.where(F.col("id") % 20 != 0)
+    earlier = V.exact_top_k(batch, batch, 1, earlier=True).select(F.col("query_id").alias("id"), F.col("id").alias("earlier"), "similarity")
+    root = F.when((F.col("chunk_id") % 7 == 0) & (F.col("chunk_id") > 0), F.col("chunk_id") - 1)  # what the stored row is a duplicate of
+    nearest = V.exact_top_k(batch, stored, 1).select(F.col("query_id").alias("id"), F.col("id").alias("chunk_id"), "similarity").withColumn("dup_of", root)
+    return dedup.link_batch(earlier, nearest, 0.3).withColumn("similarity", F.round("similarity", 6))
+
+
 @query(f"select a.vec_id as query_id, b.vec_id as id, round({DOT}, 6) as similarity, row_number() over (partition by a.vec_id order by round({DOT}, 9) desc, b.vec_id)::int as rank from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0 and b.label < 8 qualify rank <= 10")
 def vec3_knn_topk(spark, d):
     e = embeddings(spark, d)

@@ -77,7 +77,7 @@ class RuleExtractor:
     """Capitalised phrases as entities, each related to the next."""
 
     def complete(self, prompt: str) -> str:
-        names = list(dict.fromkeys(re.findall(r"\b[A-Z][a-z]{3,}(?: [A-Z][a-z]{3,})+\b", prompt)))[:6]
+        names = list(dict.fromkeys(re.findall(r"\b[A-Z][a-z]{3,}(?: [A-Z][a-z]{3,})+\b", prompt)))
         return json.dumps({"entities": [{"name": n, "type": "CONCEPT"} for n in names], "relations": [{"source": a, "relation": "related to", "target": b} for a, b in zip(names, names[1:])]})
 
 
@@ -98,9 +98,9 @@ def complete_column(c: Column, model: LLM) -> Column:
     return run(c)
 
 
-def extract_entities(texts: DataFrame, model: LLM, most_chars: int = 6000) -> DataFrame:
-    """(id, name, type, relations, error) from the model's JSON for each text; the model sees ``most_chars`` as in the service it stands for."""
+def extract_entities(texts: DataFrame, model: LLM) -> DataFrame:
+    """(id, name, type, relations, error) from the model's JSON for each whole text."""
     schema = "entities array<struct<name:string,type:string>>, relations array<struct<source:string,relation:string,target:string>>"
-    asked = texts.where(F.col("text").isNotNull()).select("id", complete_column(F.left("text", F.lit(most_chars)), model).alias("c"))
+    asked = texts.where(F.col("text").isNotNull()).select("id", complete_column(F.col("text"), model).alias("c"))
     parsed = asked.select("id", F.from_json("c.answer", schema).alias("j"), "c.error")
     return parsed.select("id", F.explode_outer("j.entities").alias("e"), F.size("j.relations").alias("relations"), "error").select("id", "e.name", "e.type", "relations", "error")

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,9 +37,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def releasing(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables written inside the block when it ends; results must have been read or written by then."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        inside, _written[before:] = _written[before:], []
+        _delete(spark, inside)
+
+
 def release(spark: SparkSession) -> None:
     """Delete every table that ``materialize`` wrote in this process."""
+    _delete(spark, _written)
+    _written.clear()
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _written:
-        p = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
