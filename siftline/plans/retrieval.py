@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -186,7 +187,11 @@ def _two_lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return retrieval.ranked_unique(c, [F.col("rank")]), retrieval.ranked_unique(c.where(F.col("rerank_score").isNotNull()), [F.desc("rerank_score")])
 
 
-@query()
+@query(f"""with v as (select run_id as query_id, chunk_id, row_number() over (partition by run_id order by rank_no, chunk_id) as rv from {UNIQUE}), g as (select * from (select run_id as query_id, chunk_id, row_number() over (partition by run_id order by rerank_score desc, chunk_id) as rg from {UNIQUE} where rerank_score is not null) where rg <= 5 and chunk_id in (select id from {CHUNKS} where is_duplicate_of is null))
+  , f as (select query_id, chunk_id, rv, rg, round(coalesce(0.7 / (60 + rv), 0) + coalesce((1 - 0.7::double) / (60 + rg), 0), 9) as score, case when rv is not null and rg is not null then 'both' when rv is not null then 'vector' else 'graph' end as source from v full outer join g using (query_id, chunk_id))
+  , r as (select query_id, chunk_id, score, source, row_number() over (partition by query_id order by score desc, rv nulls last, rg nulls last, chunk_id)::int as rank from f where score > 0)
+  select * from r where rank <= 5 and query_id in (select query_id from g)
+  union all select query_id, chunk_id, round(0.7 / (60 + rv), 9), 'vector', rv::int from v where rv <= 5 and query_id not in (select query_id from g)""")
 def rnk2_fusion_stage(spark, d):
     allowed = chunks(spark, d).where(F.col("is_duplicate_of").isNull()).select(F.col("id").alias("chunk_id"))
     return retrieval.fuse(*_two_lists(spark, d), allowed, 0.7, 5)
@@ -341,9 +346,13 @@ def clu1_kmeans(spark, d):
     return clusters.kmeans(embeddings(spark, d).select("id", F.col("v").cast("array<double>").alias("v")), 8, restarts=2).select("id", "label")
 
 
-@query()
+@query("""with e as (select vec_id, label, embedding::double[] as v from embeddings), n as (select label, count(*) as n from e group by 1),
+  d as (select a.vec_id, a.label, b.label as other, sum(1 - list_cosine_similarity(a.v, b.v)) as s from e a join e b on a.vec_id <> b.vec_id group by 1, 2, 3),
+  x as (select d.vec_id, sum(case when other = d.label then d.s / (n.n - 1) end) as own, min(case when other <> d.label then d.s / n.n end) as near from d join n on n.label = d.other where other <> d.label or n.n > 1 group by 1)
+  select round(avg(coalesce((near - own) / greatest(own, near), 0)), 4) as silhouette from x""")
 def clu2_silhouette(spark, d):
-    labelled = clusters.kmeans(embeddings(spark, d).select("id", F.col("v").cast("array<double>").alias("v")), 8, restarts=1)
+    """Of the labels that come with the vectors."""
+    labelled = embeddings(spark, d).select("id", array_to_vector(F.col("v").cast("array<double>")).alias("features"), F.col("label").cast("int").alias("label"))
     return spark.createDataFrame([(round(clusters.silhouette(labelled), 4),)], "silhouette double")
 
 
