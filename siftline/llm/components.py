@@ -32,6 +32,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", *, most_r
         if state == seen:
             break
         seen = state
+    else:
+        raise RuntimeError(f"components not found after {most_rounds} rounds")
     roots = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return roots.unionByName(roots.select(F.col("component").alias("node"), "component").distinct())
 
