@@ -35,7 +35,7 @@ from siftline.llm.near_duplicates import _arrow, _binary, _matrix
 from siftline.sources.shared import materialize
 
 STEPS = 2047  # 12 bits a component
-SALTS = 32
+SALTS = 16
 
 
 def packed_width(dim: int) -> int:
@@ -240,12 +240,13 @@ def k_nearest(df: DataFrame, *, id: str = "id", vector: str = "embedding", dim:
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     # of a class, its least k + 1 ids suffice to fill any list
     first = materialize(copies.withColumn("_r", F.row_number().over(W.partitionBy("class").orderBy("id"))).where(F.col("_r") <= k + 1).select("class", F.col("id").alias("other")), "first")
-    own = copies.join(first.select("class", "other", salts), ["class", "salt"]).select("id", F.col("other").alias("neighbour_id"), F.lit(1.0).cast("float").alias("similarity"))
+    # the salted sides grow with the copies: never broadcast
+    own = copies.hint("merge").join(first.select("class", "other", salts), ["class", "salt"]).select("id", F.col("other").alias("neighbour_id"), F.lit(1.0).cast("float").alias("similarity"))
     wide = near.join(first.withColumnRenamed("class", "b"), "b", "left").select("a", F.coalesce("other", "b").alias("neighbour_id"), "similarity")
     wide = wide.join(first.select(F.col("class").alias("a"), F.lit(SALTS).alias("n")).distinct(), "a", "left")
     single = wide.where(F.col("n").isNull()).select(F.col("a").alias("id"), "neighbour_id", "similarity")
     several = wide.where(F.col("n").isNotNull()).select(F.col("a").alias("class"), "neighbour_id", "similarity", salts)
-    wide = single.unionByName(several.join(copies, ["class", "salt"]).select("id", "neighbour_id", "similarity"))
+    wide = single.unionByName(several.hint("merge").join(copies, ["class", "salt"]).select("id", "neighbour_id", "similarity"))
     rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "neighbour_id"))
     lists = own.unionByName(wide).where(F.col("id") != F.col("neighbour_id"))
     return lists.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "neighbour_id", "similarity", "rank")
