@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
 from itertools import groupby
 from operator import itemgetter
 
@@ -192,3 +193,21 @@ def diff_column(before: Column, after: Column) -> Column:
         return pd.Series([[{"kind": k, "text": t} for k, t in word_diff(p, q)] for p, q in zip(x, y)])
 
     return diff(before, after)
+
+
+def with_diff(df: DataFrame, before: str, after: str, *, out: str = "diff") -> DataFrame:
+    """``df`` with ``diff_column`` of two of its columns, whatever expressions made them.
+
+    A scan of rows stands between the two: Spark folds a column's expression into the
+    arguments of a Python function, and with a lambda inside a lambda (the check digits
+    of ``mask_pii``) it then can no longer take the function out of the plan.
+    """
+    kept = [c for c in df.columns if c != out]
+
+    def diff(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            runs = [[{"kind": k, "text": t} for k, t in word_diff(p, q)] for p, q in zip(pdf[before], pdf[after])]
+            yield pdf[kept].assign(**{out: runs})
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != out)
+    return df.mapInPandas(diff, f"{fields}, `{out}` array<struct<kind:string,text:string>>")

@@ -190,7 +190,7 @@ def fn16_unwrap_json(spark, d):
 @query()
 def fn19_word_diff(spark, d):
     q = questions(spark, d).select("id", "question", R.mask_pii(F.col("question")).alias("masked")).where(F.col("question") != F.col("masked"))
-    return q.select("id", F.size(R.diff_column(F.col("question"), F.col("masked"))).alias("runs"))
+    return R.with_diff(q, "question", "masked").select("id", F.size("diff").alias("runs"))
 
 
 @query(f"""select id, n > 25 as blocked, case when n > 25 then 'block' else 'pass' end as length_verdict, case when n > 25 then 'skipped' when score < 0.7 then 'warn' else 'pass' end as topic_verdict
