@@ -51,10 +51,21 @@ def page_offsets(pages: DataFrame) -> DataFrame:
 
 
 def page_at(offsets: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc, offset, page): the first page that ends beyond the offset, else the last. ``spans``: doc, page, start, end."""
-    met = offsets.join(spans, "doc", "left")
-    inside = F.min_by("page", F.when(F.col("offset") < F.col("end"), F.struct("end", "page")))
-    return met.groupBy("doc", "offset").agg(F.coalesce(inside, F.max_by("page", F.struct("end", "page")), F.lit(1)).alias("page"))
+    """(doc, offset, page): the first page that ends beyond the offset, else the last. ``spans``: doc, page, start, end.
+
+    Ends and offsets of a document are one list, read from the highest place down: the
+    page seen last before an offset is its page. The work grows with the list, not with
+    pages times offsets. The list begins with the last page, for offsets beyond all ends.
+    """
+    none, far = F.lit(None), F.lit(2**63 - 1)
+    pages = spans.where(F.col("doc").isNotNull()).select("doc", "page", "end")
+    last = pages.groupBy("doc").agg(F.max_by("page", F.struct("end", "page")).alias("page")).select("doc", none.cast("long").alias("offset"), F.lit(0).alias("kind"), far.alias("at"), "page")
+    asked = offsets.select("doc", "offset").distinct().select("doc", F.col("offset").cast("long").alias("offset"), F.lit(1).alias("kind"), F.coalesce(F.col("offset").cast("long"), far).alias("at"), none.cast(spans.schema["page"].dataType).alias("page"))
+    ends = pages.where(F.col("end").isNotNull()).select("doc", none.cast("long").alias("offset"), F.lit(2).alias("kind"), F.col("end").cast("long").alias("at"), "page")
+    # an offset stands before the pages that end at it; of pages with one end the first is read last
+    down = W.partitionBy("doc").orderBy(F.desc("at"), "kind", F.desc("page")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    read = last.unionByName(asked).unionByName(ends).withColumn("found", F.last("page", ignorenulls=True).over(down))
+    return read.where(F.col("kind") == 1).select("doc", F.col("offset").cast(offsets.schema["offset"].dataType).alias("offset"), F.coalesce("found", F.lit(1)).alias("page"))
 
 
 def page_count(text: Column) -> Column:

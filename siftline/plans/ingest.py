@@ -150,7 +150,7 @@ def prj4_page_offsets(spark, d):
   select o.doc, o."offset", coalesce(arg_min(p.page, (p."end", p.page)) filter (where o."offset" < p."end"), arg_max(p.page, (p."end", p.page)), 1) as page from o left join p using (doc) group by 1, 2""")
 def prj5_page_at(spark, d):
     s = table(spark, d, "eval_question").select(F.explode("relevant_spans").alias("s")).select(F.col("s.sha256").alias("sha256"), F.col("s.start_offset").alias("offset")).where(F.col("offset").isNotNull())
-    offsets = s.join(documents(spark, d).select("id", "sha256"), "sha256").select(F.col("id").alias("doc"), "offset").distinct()
+    offsets = s.join(documents(spark, d).select("id", "sha256"), "sha256").select(F.col("id").alias("doc"), "offset")
     spans = chunks(spark, d).select(F.col("document_id").alias("doc"), "page", F.col("start_offset").alias("start"), F.col("end_offset").alias("end"))
     return parsing.page_at(offsets, spans)
 

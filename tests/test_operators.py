@@ -29,6 +29,21 @@ def test_page_offsets(spark):
     assert rows(at, "doc", "offset", "page") == [(1, 0, 1), (1, 3, 3), (1, 99, 3), (7, 0, 1)]
 
 
+def test_page_at_of_a_long_document_is_no_product(spark):
+    rng = np.random.default_rng(5)
+    ends = [(d, int(p), int(e)) for d in (1, 2) for p, e in zip(rng.integers(1, 90, 300), rng.integers(0, 400, 300))] + [(3, 4, 7), (3, 2, 7), (None, 9, 500)]
+    asked = [(d, o) for d in (1, 2, 3, 4) for o in range(0, 420, 7)] + [(1, 7), (None, 3)]
+    spans = spark.createDataFrame([(d, p, 0, e) for d, p, e in ends], "doc int, page int, start int, end int")
+    at = parsing.page_at(spark.createDataFrame(asked, "doc int, offset int"), spans)
+
+    def page(d, o):
+        own = [(e, p) for x, p, e in ends if x == d is not None]
+        return min((x for x in own if o < x[0]), default=max(own, default=(0, 1)))[1]
+
+    assert at.count() == len(set(asked)) and {(r["doc"], r["offset"], r["page"]) for r in at.collect()} == {(d, o, page(d, o)) for d, o in asked}
+    assert "Join" not in at._jdf.queryExecution().executedPlan().toString()  # each page would meet each offset of its document
+
+
 def test_link_batch_and_roots(spark):
     batch = spark.createDataFrame([("n2", "n0", 1.0), ("n3", "n0", 0.96)], "id string, earlier string, similarity double")
     held = spark.createDataFrame([("n3", "old-1", 0.97, "old-0"), ("n0", "old-9", 0.5, None)], "id string, chunk_id string, similarity double, dup_of string")
