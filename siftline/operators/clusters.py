@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -35,19 +39,164 @@ def silhouette(labelled: DataFrame) -> float:
     return ClusteringEvaluator(predictionCol="label", featuresCol="features", distanceMeasure="cosine").evaluate(labelled)
 
 
-def choose_k(vectors: DataFrame, *, most: int = 12, seed: int = 42, restarts: int = 1) -> DataFrame:
-    """(id, cluster_id): the first best k by silhouette; fewer than three rows are one cluster."""
+def _rows_of(batch) -> np.ndarray:
+    v = batch.column("v")
+    return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+
+
+def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1), 0)
+
+
+def _uniform(h: np.ndarray, salt: int) -> np.ndarray:
+    """A number in (0, 1) for each 64-bit hash; every salt gives another."""
+    z = h + np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(by)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2**53 + 2.0**-54
+
+
+def _seeds(data: DataFrame, most: int, starts: int, seed: int) -> np.ndarray:
+    """(starts, most, dimensions): k-means++ seeds of every start, one pass a seed; a start with k clusters takes the first k.
+
+    A row is drawn in proportion to its squared distance from the seeds before it: the
+    least of -ln(u) / d^2 over all rows, so partitions and their order make no difference.
+    """
+    chosen: list[np.ndarray] = []
+    for step in range(most):
+        held = np.stack(chosen, 1) if chosen else None
+
+        def draw(it, held=held, step=step):
+            best: dict[int, tuple] = {}
+            for batch in it:
+                x, h = _rows_of(batch), batch.column("h").to_numpy().view(np.uint64)
+                for start in range(starts):
+                    d = _distances(x, held[start]).min(1) if held is not None else np.ones(len(x))
+                    d[d <= 1e-12 * (x * x).sum(1)] = 0
+                    at = -np.log(_uniform(h, (seed * starts + start) * most + step)) / np.where(d > 0, d, 1)
+                    i = np.lexsort((at, d <= 0))[0]
+                    if start not in best or (d[i] <= 0, at[i]) < best[start][:2]:
+                        best[start] = (bool(d[i] <= 0), float(at[i]), x[i])
+            if best:
+                yield pa.RecordBatch.from_pylist([{"start": s, "equal": e, "at": t, "v": v.tolist()} for s, (e, t, v) in best.items()], pa.schema([("start", pa.int32()), ("equal", pa.bool_()), ("at", pa.float64()), ("v", pa.list_(pa.float64()))]))
+
+        drawn = data.mapInArrow(draw, "start int, equal boolean, at double, v array<double>")
+        got = {r["start"]: r["v"] for r in drawn.groupBy("start").agg(F.min_by("v", F.struct("equal", "at")).alias("v")).collect()}
+        chosen.append(np.array([got[start] for start in range(starts)]))
+    return np.stack(chosen, 1)
+
+
+def _sums(data: DataFrame, centres: list[np.ndarray], *, many: bool, unit: bool = False) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """(members, their sums, squared distances in all) of each set of centres, in one pass.
+
+    ``many``: there are many partitions, which are added up before the driver gets one
+    row a centre. ``unit``: sums of vectors of length one.
+    """
+    every, ends = np.concatenate(centres), np.cumsum([len(c) for c in centres])
+    out = "part int, centre int, n double, cost double, s array<double>"
+
+    def add(it):
+        n, cost, sums = np.zeros(len(every)), np.zeros(len(every)), np.zeros(every.shape)
+        for batch in it:
+            for x in np.array_split(_rows_of(batch), -(-batch.num_rows // 2048)) if batch.num_rows else ():
+                d = _distances(x, every)
+                member = np.zeros(d.shape)
+                for a, b in zip([0, *ends], ends):
+                    member[np.arange(len(x)), a + d[:, a:b].argmin(1)] = 1
+                n += member.sum(0)
+                cost += (member * d).sum(0)
+                sums += member.T @ (_unit(x) if unit else x)
+        yield pa.RecordBatch.from_pandas(pd.DataFrame({"part": np.int32(TaskContext.get().partitionId()), "centre": np.arange(len(every), dtype=np.int32), "n": n, "cost": cost, "s": list(sums)}))
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        return pd.DataFrame({"part": [0], "centre": pdf["centre"].iloc[:1].to_numpy(), "n": [pdf["n"].sum()], "cost": [pdf["cost"].sum()], "s": [np.sum(list(pdf["s"]), axis=0)]})
+
+    parts = data.mapInArrow(add, out)
+    if many:
+        parts = parts.groupBy("centre").applyInPandas(total, out)
+    n, cost, sums = np.zeros(len(every)), np.zeros(len(every)), np.zeros(every.shape)
+    for r in sorted(parts.collect(), key=lambda r: (r["centre"], r["part"])):
+        n[r["centre"]] += r["n"]
+        cost[r["centre"]] += r["cost"]
+        sums[r["centre"]] += r["s"]
+    return [(n[a:b], sums[a:b], float(cost[a:b].sum())) for a, b in zip([0, *ends], ends)]
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def _silhouettes(data: DataFrame, centres: list[np.ndarray], known: list[tuple]) -> list[float]:
+    """Mean silhouette by cosine distance of each set of centres over all rows; a singleton counts 0.
+
+    The mean distance to a cluster is one less the product with the mean of its unit
+    vectors, so one pass does for all sets. ``known``: ``_sums`` of unit vectors.
+    """
+
+    def score(it):
+        total = np.zeros(len(centres))
+        for batch in it:
+            for x in np.array_split(_rows_of(batch), -(-batch.num_rows // 2048)) if batch.num_rows else ():
+                u, rows = _unit(x), np.arange(len(x))
+                for i, (c, (n, s, _)) in enumerate(zip(centres, known)):
+                    own = _distances(x, c).argmin(1)
+                    far = np.maximum(n - u @ s.T, 0)  # summed distances to each cluster
+                    a = np.maximum(far[rows, own] - (1 - (u * u).sum(1)), 0) / np.maximum(n[own] - 1, 1)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        other = np.where(n > 0, far / n, np.inf)
+                        other[rows, own] = np.inf
+                        b = other.min(1)
+                        total[i] += np.where((n[own] > 1) & np.isfinite(b), np.nan_to_num((b - a) / np.maximum(a, b)), 0).sum()
+        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "s": pa.array([total.tolist()], pa.list_(pa.float64()))})
+
+    rows = sorted(data.mapInArrow(score, "part int, s array<double>").collect(), key=lambda r: r["part"])
+    return list(np.sum([r["s"] for r in rows], axis=0) / sum(known[0][0]))
+
+
+def choose_k(vectors: DataFrame, *, most: int = 12, seed: int = 42, restarts: int = 1, max_iter: int = 100, tolerance: float = 1e-4) -> DataFrame:
+    """(id, cluster_id): the first best k by silhouette; fewer than three rows are one cluster.
+
+    All starts of all k move together: one pass over the rows for each seed, and one for
+    each of at most ``max_iter`` rounds, in which only those take part whose centres
+    still move by more than ``tolerance``. An empty cluster keeps its centre.
+    """
     n = vectors.count()
-    best, found = -1.0, None
-    for k in range(2, min(most, n - 1) + 1):
-        labelled = kmeans(vectors, k, seed, restarts)
-        if labelled.select("label").distinct().count() < 2:
-            continue
-        if (s := silhouette(labelled)) > best + 1e-12:
-            best, found = s, labelled
+    ks = range(2, min(most, n - 1) + 1)
+    one = vectors.select("id", F.lit(0).alias("cluster_id"))
+    if not ks:
+        return one
+    tasks = max(min(8, -(-n // 1000)), -(-n // 50_000))
+    data = vectors.select("id", F.col("v").cast("array<double>").alias("v"), F.xxhash64(F.col("id").cast("string")).alias("h")).repartition(tasks, "id").sortWithinPartitions("id").cache()
+    try:
+        seeds = _seeds(data, ks[-1], restarts, seed)
+        centres = [seeds[start, :k].copy() for k in ks for start in range(restarts)]
+        moving = list(range(len(centres)))
+        for _ in range(max_iter):
+            for i, (size, s, _) in zip(list(moving), _sums(data, [centres[i] for i in moving], many=tasks > 8)):
+                new = np.where(size[:, None] > 0, s / np.maximum(size, 1)[:, None], centres[i])
+                if ((new - centres[i]) ** 2).sum(1).max() <= tolerance**2:
+                    moving.remove(i)
+                centres[i] = new
+            if not moving:
+                break
+        cost = [c for *_, c in _sums(data, centres, many=tasks > 8)]
+        kept = [centres[min(range(j * restarts, (j + 1) * restarts), key=cost.__getitem__)] for j in range(len(ks))]
+        known = _sums(data, kept, many=tasks > 8, unit=True)
+        best, found = -1.0, None
+        for c, (size, *_), s in zip(kept, known, _silhouettes(data, kept, known)):
+            if (size > 0).sum() > 1 and s > best + 1e-12:
+                best, found = s, c
+    finally:
+        data.unpersist()
     if found is None:
-        return vectors.select("id", F.lit(0).alias("cluster_id"))
-    return renumber(found.select("id", "label"))
+        return one
+
+    def label(it):
+        for batch in it:
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(_distances(_rows_of(batch), found).argmin(1).astype(np.int32))], names=["id", "label"])
+
+    return renumber(data.mapInArrow(label, f"id {vectors.schema['id'].dataType.simpleString()}, label int"))
 
 
 def renumber(labelled: DataFrame) -> DataFrame:

@@ -95,6 +95,35 @@ def test_clusters(spark):
     assert clusters.principal_plane(df).count() == 12
 
 
+def test_choose_k_moves_all_starts_together(spark):
+    rng = np.random.default_rng(4)
+    heart = np.linalg.qr(rng.normal(size=(8, 8)))[0][:5]
+    x = np.concatenate([h + rng.normal(scale=0.05, size=(60, 8)) for h in heart])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>").repartition(10)
+    spark.sparkContext.setJobGroup("choose", "")
+    got = [c for _, c in rows(clusters.choose_k(df, most=8, restarts=10), "id", "cluster_id")]
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("choose"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == [i // 60 for i in range(300)]
+    assert jobs < 150  # seventy fits by themselves take several jobs each
+
+    # the silhouette is that of all pairs
+    centres = [heart, heart[:3], np.concatenate([heart[:2], x[:1] * 50])]
+    data = df.withColumn("h", F.lit(0)).cache()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    known = clusters._sums(data, centres, many=True, unit=True)
+    assert all(np.allclose(a, b) for p, q in zip(known, clusters._sums(data, centres, many=False, unit=True)) for a, b in zip(p, q))
+    for c, s in zip(centres, clusters._silhouettes(data, centres, known)):
+        own, far = clusters._distances(x, c).argmin(1), 1 - u @ u.T
+        mean = lambda i, k: far[i][(own == k) & (np.arange(300) != i)].mean()
+        want = []
+        for i in range(300):
+            a, b = mean(i, own[i]) if (own == own[i]).sum() > 1 else None, min(mean(i, k) for k in set(own) - {own[i]})
+            want.append(0 if a is None else (b - a) / max(a, b))
+        assert s == pytest.approx(np.mean(want))
+    data.unpersist()
+
+
 def test_choose_k_is_registered_with_its_whole_range(spark, monkeypatch):
     from siftline.plans import retrieval
 
