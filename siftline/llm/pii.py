@@ -5,8 +5,9 @@
 their own format (a Feistel network with cycle walking), so the same value has the
 same pseudonym in every document, check digits stay valid and separators stay.
 
-Given names come as a gazetteer that ``given_names`` learns from rows known to be
-persons (a bounded, documented list); everything else is rules and check digits.
+Given names come as a gazetteer that ``given_table`` learns from rows known to be
+persons, all of them; everything else is rules and check digits. Up to ``most_held``
+names every task holds them all; beyond, each text is joined with those it contains.
 Texts are scanned whole, each in one Arrow batch with others.
 
 Defined results: null and empty texts have no spans and stay as they are; offsets
@@ -25,10 +26,12 @@ from collections.abc import Iterable, Iterator
 from datetime import date, timedelta
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.checks import luhn_ok, verhoeff_ok
+from siftline.sources.shared import materialize
 
 TYPES = ("EMAIL_ADDRESS", "CREDIT_CARD", "IN_AADHAAR", "IN_PAN", "PHONE_NUMBER", "STREET_ADDRESS", "PERSON")
 
@@ -96,6 +99,14 @@ BEFORE_GIVEN = re.compile(rf"(?<![\w\-])({NAME}),\s{TITLE}?$")
 INITIAL_AFTER = re.compile(rf"[ \-]{CAPITAL}(?:\.|(?!\w))(?:[ \-]{CAPITAL}\.)?")
 
 
+def written(given: Iterable[str]) -> Iterator[str]:
+    """The ways in which given names may be written."""
+    for g in given:
+        for form in ("NFC", "NFD"):
+            for v in (g, g.upper(), g.lower()):
+                yield unicodedata.normalize(form, v)
+
+
 class Finder:
     """Holds the compiled gazetteer of one list of given names."""
 
@@ -103,29 +114,33 @@ class Finder:
         import ahocorasick
 
         self.auto = ahocorasick.Automaton()
-        for g in given:
-            for form in ("NFC", "NFD"):
-                for v in (g, g.upper(), g.lower()):
-                    w = unicodedata.normalize(form, v)
-                    self.auto.add_word(w, w)
+        for w in written(given):
+            self.auto.add_word(w, w)
         self.any = len(self.auto) > 0
         if self.any:
             self.auto.make_automaton()
 
-    def persons(self, t: str) -> Iterator[tuple[int, int]]:
-        hits = self.auto.iter(t) if self.any else ()
-        for last, w in hits:
-            a, b = last - len(w) + 1, last + 1
+    def hits(self, t: str) -> Iterator[tuple[int, int, str]]:
+        for last, w in self.auto.iter(t) if self.any else ():
+            yield last - len(w) + 1, last + 1, w
+
+    def given_spans(self, t: str) -> Iterator[tuple[int, int, str]]:
+        """(start, end, given name as written) of the persons around given names."""
+        for a, b, w in self.hits(t):
             if (a and (t[a - 1].isalnum() or t[a - 1] in "@_.-")) or (b < len(t) and (t[b].isalnum() or t[b] in "@_" or unicodedata.combining(t[b]))):
                 continue
             lower = w.islower()
             if not lower and (m := BEFORE_GIVEN.search(t, max(0, a - 60), a)):
                 end = m2.end() if (m2 := INITIAL_AFTER.match(t, b)) else b
-                yield m.start(1), end
+                yield m.start(1), end, w
                 continue
             m = (AFTER_LOWER if lower else AFTER_GIVEN).match(t, b)
             if m and not FIRM.match(t, m.end()) and not FIRM.match(t, m.start(1) - 1):
-                yield a, m.end()
+                yield a, m.end(), w
+
+    def persons(self, t: str) -> Iterator[tuple[int, int]]:
+        for a, b, _ in self.given_spans(t):
+            yield a, b
         for m in INITIALS.finditer(t):
             before = t[max(0, m.start() - 14) : m.start()].split()
             if before and before[-1].lower() in LETTERED and not before[-1].endswith((".", ",")):
@@ -135,6 +150,25 @@ class Finder:
             yield m.span()
 
 
+LETTERS = regex.compile(r"[\p{L}\p{M}]+")
+
+
+class WordFinder(Finder):
+    """Looks words up instead of names: those in ``words``, or every word without."""
+
+    def __init__(self, words: Iterable[str] | None = None):
+        self.words = None if words is None else set(words)
+
+    def hits(self, t: str) -> Iterator[tuple[int, int, str]]:
+        for m in LETTERS.finditer(t):
+            a, b = m.span()
+            marks = [i for i in range(a, b) if not t[i].isalnum()]  # next to a mark a name may begin or end
+            for start in (a, *(i + 1 for i in marks)):
+                for end in (*(i for i in marks if i > start), b):
+                    if start < end and (self.words is None or t[start:end] in self.words):
+                        yield start, end, t[start:end]
+
+
 def find_spans(text: str, finder: Finder) -> list[tuple[int, int, str]]:
     """(start, end, type) in order of start, not overlapping."""
     found: list[tuple[int, int, str]] = []
@@ -255,48 +289,78 @@ def pseudonymise(text: str, spans: list[tuple[int, int, str]], key: bytes) -> st
 # --- Spark ------------------------------------------------------------------
 
 
-def given_names(persons: DataFrame, name: str = "name", *, least_surnames: int = 3, most: int = 20_000) -> list[str]:
-    """Given names: first words of two-word person names seen with several second words.
-
-    Counts run over all rows; at most ``most`` names (by count, then name) reach
-    the driver, so the gazetteer has a fixed bound.
-    """
+def given_table(persons: DataFrame, name: str = "name", *, least_surnames: int = 3) -> DataFrame:
+    """(g): given names, first words of two-word person names seen with several second words. Counts run over all rows."""
     words = F.split(F.trim(F.col(name)), r"\s+")
     pairs = persons.where(F.col(name).rlike(r"^\s*\p{Lu}\p{M}*\p{Ll}[\p{L}\p{M}]+\s+\p{Lu}[\p{L}\p{M}'-]{2,}\s*$")).select(words[0].alias("g"), F.initcap(words[1]).alias("s"))
-    counted = pairs.where(~F.col("g").isin("The", "Dr", "Ms", "Mr", "Mrs", "Prof", "Eng", "Capt")).groupBy("g").agg(F.approx_count_distinct("s").alias("n")).where(F.col("n") >= least_surnames)
-    return sorted(r["g"] for r in counted.orderBy(F.desc("n"), "g").limit(most).collect())
+    return pairs.where(~F.col("g").isin("The", "Dr", "Ms", "Mr", "Mrs", "Prof", "Eng", "Capt")).groupBy("g").agg(F.approx_count_distinct("s").alias("n")).where(F.col("n") >= least_surnames).select("g")
 
 
-def pii_findings(df: DataFrame, given: list[str], *, id: str = "id", text: str = "text", key: bytes) -> DataFrame:
+def given_names(persons: DataFrame, name: str = "name", *, least_surnames: int = 3) -> list[str]:
+    """All of ``given_table`` as a list, for tables known to be small."""
+    return sorted(r["g"] for r in given_table(persons, name, least_surnames=least_surnames).collect())
+
+
+def _with_names(df: DataFrame, text: str, given: list[str] | DataFrame, most_held: int) -> tuple[DataFrame, list[str] | None]:
+    """(rows, names): all names where they are few enough to be held; else None, and the rows with ``_known``, the names written in their text."""
+    if not isinstance(given, DataFrame):
+        return df, list(given)
+    given = materialize(given.select("g").distinct(), "given")
+    if given.count() <= most_held:
+        return df, sorted(r["g"] for r in given.collect())
+
+    def forms(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield pd.DataFrame({"w": sorted({*written(pdf["g"])})})
+
+    def words(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every = WordFinder()
+        for pdf in it:
+            rows = [(h, w) for h, t in zip(pdf["_h"], pdf["t"]) for w in {w for *_, w in every.given_spans(t)}]
+            yield pd.DataFrame(rows, columns=["_h", "w"])
+
+    h = F.sha2(F.col(text), 256)
+    texts = df.where(F.col(text) != "").select(h.alias("_h"), F.col(text).alias("t"))
+    said = texts.mapInPandas(words, "_h string, w string").distinct()
+    known = said.join(given.mapInPandas(forms, "w string").distinct(), "w").groupBy("_h").agg(F.collect_set("w").alias("_known"))
+    return df.withColumn("_h", h).join(known, "_h", "left").drop("_h").withColumn("_known", F.coalesce("_known", F.array().cast("array<string>"))), None
+
+
+def pii_findings(df: DataFrame, given: list[str] | DataFrame, *, id: str = "id", text: str = "text", key: bytes, most_held: int = 20_000) -> DataFrame:
     """record_id, start_offset, end_offset, type, stand_in: one row a place, with the pseudonym of a validated number.
 
     Equal values have equal stand-ins in all records; names, addresses and streets have
-    none (null) and go by ``<TYPE>`` alone.
+    none (null) and go by ``<TYPE>`` alone. ``given``: names, or a table of them (g); a
+    table of more than ``most_held`` is joined with the texts.
     """
     columns = ["record_id", "start_offset", "end_offset", "type", "stand_in"]
+    rows = df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(id).cast("string").alias("record_id"), F.col(text).alias("text"))
+    rows, names = _with_names(rows, "text", given, most_held)
 
     def scan(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = Finder(given)
+        finder = None if names is None else Finder(names)
         for pdf in it:
-            rows = [(r, s, e, k, pseudonym(t[s:e], k, key)) for r, t in zip(pdf["record_id"], pdf["text"]) if t for s, e, k in find_spans(t, finder)]
-            yield pd.DataFrame(rows, columns=columns)
+            finders = (finder or WordFinder(k) for k in pdf["_known" if names is None else "text"])
+            found = [(r, s, e, k, pseudonym(t[s:e], k, key)) for r, t, f in zip(pdf["record_id"], pdf["text"], finders) if t for s, e, k in find_spans(t, f)]
+            yield pd.DataFrame(found, columns=columns)
 
-    rows = df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(id).cast("string").alias("record_id"), F.col(text).alias("text"))
     return rows.mapInPandas(scan, "record_id string, start_offset int, end_offset int, type string, stand_in string").distinct()
 
 
-def mask_pii(df: DataFrame, given: list[str], *, text: str = "text", key: bytes, masked: str = "masked", pseudo: str = "pseudonymous") -> DataFrame:
-    """``df`` with the text masked by ``<TYPE>`` and with format-preserving pseudonyms."""
+def mask_pii(df: DataFrame, given: list[str] | DataFrame, *, text: str = "text", key: bytes, masked: str = "masked", pseudo: str = "pseudonymous", most_held: int = 20_000) -> DataFrame:
+    """``df`` with the text masked by ``<TYPE>`` and with format-preserving pseudonyms; ``given`` as in ``pii_findings``."""
+    rest = [c for c in df.columns if c not in (masked, pseudo)]
+    df, names = _with_names(df, text, given, most_held)
 
     @F.pandas_udf("masked string, pseudonymous string")
-    def rewrite(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        finder = Finder(given)
-        for s in parts:
+    def rewrite(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        finder = None if names is None else Finder(names)
+        for texts, known in parts:
             out = []
-            for t in s:
-                spans = find_spans(t, finder) if t else []
+            for t, k in zip(texts, known):
+                spans = find_spans(t, finder or WordFinder(k)) if t else []
                 out.append((mask_text(t, spans), pseudonymise(t, spans, key)) if t else (t, t))
             yield pd.DataFrame(out, columns=["masked", "pseudonymous"])
 
-    rest = [c for c in df.columns if c not in (masked, pseudo)]
-    return df.select(*rest, rewrite(F.col(text)).alias("_r")).select(*rest, F.col("_r.masked").alias(masked), F.col("_r.pseudonymous").alias(pseudo))
+    known = F.lit(0) if names is not None else F.col("_known")
+    return df.select(*rest, rewrite(F.col(text), known).alias("_r")).select(*rest, F.col("_r.masked").alias(masked), F.col("_r.pseudonymous").alias(pseudo))

@@ -11,7 +11,7 @@ from siftline.llm.knn import k_nearest
 from siftline.llm.mixture import mix_sources, mixture_report
 from siftline.llm.names import learn_common, learn_short_forms, link_names, name_pairs
 from siftline.llm.near_duplicates import duplicate_fields, near_duplicate_links, near_duplicate_pairs
-from siftline.llm.pii import given_names, mask_pii, pii_findings
+from siftline.llm.pii import given_names, given_table, mask_pii, pii_findings
 from siftline.llm.splitting import split_oversized, word_count
 from siftline.llm.subjects import document_subjects
 from siftline.llm.tokenize import encode_corpus
@@ -95,8 +95,8 @@ def _texts_with_pii(spark: SparkSession, d: str) -> DataFrame:
     return chunks.unionByName(questions)
 
 
-def _given(spark: SparkSession, d: str) -> list[str]:
-    return given_names(table(spark, d, "extracted_entity").where(F.upper(F.trim("type")) == "PERSON"))
+def _given(spark: SparkSession, d: str) -> DataFrame:
+    return given_table(table(spark, d, "extracted_entity").where(F.upper(F.trim("type")) == "PERSON"))
 
 
 def _key(spark: SparkSession) -> bytes:

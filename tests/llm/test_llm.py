@@ -398,6 +398,22 @@ def test_pii_rows(spark):
     assert P.given_names(people) == ["Clara"]
 
 
+def test_names_beyond_those_that_are_held_count_too(spark):
+    letters = [chr(97 + i) for i in range(26)]
+    firsts = [f"{q}{a}{b}{c}o" for q in "QR" for a in letters for b in letters for c in letters]
+    people = spark.createDataFrame([(f"{g} {s}",) for g in [*firsts[:21_000], "Zoé"] for s in ("Abelson", "Bakerly", "Carlton", "Dunster")], "name string")
+    assert len(P.given_names(people)) == 21_001  # the list once ended at 20,000
+    accent = "Zoe\u0301"
+    texts = ["We met Qabco Vomilintor and QABCO VOMILINTOR there", "qabco vomilintor wrote; Vomilintor, Qabco J. too", f"{accent} Tuganobe, Zoé Tuganobe Ltd, Qabcos Tuganobe", "x-Qabco Teltadru @Qabco Teltadru C. Teltadru", "mail a@b.example", "", None]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts + texts[:1])], "id string, text string")
+    table = P.given_table(people.where("name rlike '^(Qabco|Zo)'"))
+    columns = ("record_id", "start_offset", "end_offset", "type")
+    held, joined = (rows(P.pii_findings(df, table, key=b"k", most_held=n), *columns) for n in (10, 1))
+    assert held == joined == rows(P.pii_findings(df, ["Qabco", "Zoé"], key=b"k"), *columns) and len(held) > 7
+    masks = [sorted(map(str, P.mask_pii(df, table, key=b"k", most_held=n).collect())) for n in (10, 1)]
+    assert masks[0] == masks[1] and len(masks[0]) == 8
+
+
 # --- problem 7 --------------------------------------------------------------
 
 
