@@ -11,8 +11,9 @@ metric in which a transposition is one edit. In a cell the radius join is exact.
 Cores that meet form a block; in a block the rest of the names decides: persons by
 given name (nickname, initial or abbreviation), firms by line of business, devices
 by model number. The words that are common (given names, lines of business) are
-learned by counts over all names, at most ``most`` of each, and so are short forms of
-given names, from descriptions and aliases that names share.
+learned by counts over all names, and so are short forms of given names, from
+descriptions and aliases that names share. Up to ``MOST_HELD`` words every task holds
+them all; beyond, each name is joined with those that one of its words may be.
 
 Defined results: null and blank names take no part; ids repeated count once; a
 name without any rare word links only to equal words; of several entities that fit
@@ -30,11 +31,11 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm.components import connected_components, pairs_of_groups
@@ -44,6 +45,8 @@ from siftline.sources.shared import materialize
 TITLES = frozenset("mr mrs ms miss dr prof eng capt herr frau sir sr sra".split())
 LEGAL = frozenset("ltd limited plc ab aktiebolag llc inc incorporated gmbh gesellschaft mbh co corp corporation company group holding holdings ag sa se nv bv kg oy as spa".split())
 FILLER = frozenset("of the and de la du no model site direct".split())
+#: Words of a vocabulary that each task may hold.
+MOST_HELD = 60_000
 
 
 def fold(s: str) -> str:
@@ -127,6 +130,7 @@ class Vocabulary:
         self.given = {fold(g) for g in given} | {*self.short, *self.short.values()}
         self.common = ({fold(c) for c in common} | LEGAL | FILLER | TITLES) - self.given
         self.all = self.given | self.common
+        self.longest = sorted(self.all, key=lambda w: (-len(w), w))
         self.long = defaultdict(list)
         for w in self.all:
             if len(w) >= (4 if w in self.given else 5):
@@ -143,7 +147,7 @@ class Vocabulary:
         return min(near) if near else None
 
     def take_apart(self, w: str) -> list[str]:
-        for other in self.all:
+        for other in self.longest:
             if len(other) >= 4 and len(w) - len(other) >= 5:
                 if w.endswith(other):
                     return [w[: -len(other)], other]
@@ -152,6 +156,19 @@ class Vocabulary:
         return [w]
 
 
+def lookups(name: str) -> set[str]:
+    """Keys of which one is among ``found_by`` of every word of a vocabulary that reading the name may come upon."""
+    words = words_of(name)
+    keys = {k for w in words for k in (w, *(w[:i] + w[i + 1 :] for i in range(len(w))))}
+    if len(words) == 1:  # may be taken apart
+        keys |= {words[0][:i] for i in range(4, len(words[0]))} | {words[0][i:] for i in range(len(words[0]) - 3)}
+    return keys
+
+
+def found_by(word: str) -> set[str]:
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
 def read_name(name: str, vocabulary: Vocabulary) -> tuple[str, str, str, str]:
     """(core, given, line, number): what distinguishes an entity of that core."""
     given, line, number, rare, letters = [], [], [], [], []
@@ -271,28 +288,79 @@ def resolve_block(rows: list[tuple]) -> list[int]:
 # --- Spark ------------------------------------------------------------------
 
 
-def learn_common(names: DataFrame, *, least: int = 4, most: int = 20_000) -> list[str]:
-    """Words that follow several first words in names of firms, places and products."""
+def common_table(names: DataFrame, *, least: int = 4) -> DataFrame:
+    """(word): words that follow several first words in names of firms, places and products."""
     w = F.transform(F.regexp_extract_all(F.col("name"), F.lit(r"([\p{L}\p{M}]+)"), 1), lambda x: F.lower(x))
     pairs = names.where(~F.col("person")).select(w.alias("w")).where(F.size("w") > 1).select(F.col("w")[0].alias("first"), F.explode(F.slice("w", 2, F.size("w"))).alias("word"))
-    counted = pairs.where((F.length("word") > 1) & (F.col("word") != F.col("first"))).groupBy("word").agg(F.approx_count_distinct("first").alias("n")).where(F.col("n") >= least)
-    return sorted(r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect())
+    return pairs.where((F.length("word") > 1) & (F.col("word") != F.col("first"))).groupBy("word").agg(F.approx_count_distinct("first").alias("n")).where(F.col("n") >= least).select("word")
+
+
+def vocabulary_table(given: DataFrame, common: DataFrame, short: DataFrame | None = None) -> DataFrame:
+    """(word, given, common, full): ``given``: g; ``common``: word; ``short``: a, full, where known."""
 
+    def folded(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield pdf.assign(word=[fold(w) for w in pdf["word"]])
+
+    none = F.lit(None).cast("string")
+    every = given.select(F.col("g").alias("word"), F.lit(True).alias("given"), F.lit(False).alias("common"), none.alias("full"))
+    every = every.unionByName(common.select("word", F.lit(False).alias("given"), F.lit(True).alias("common"), none.alias("full")))
+    if short is not None:
+        row = lambda c, full: short.select(F.col(c).alias("word"), F.lit(True).alias("given"), F.lit(False).alias("common"), full.alias("full"))
+        every = every.unionByName(row("a", F.col("full"))).unionByName(row("full", none))
+    columns = "word string, given boolean, common boolean, full string"
+    return materialize(every.mapInPandas(folded, columns).groupBy("word").agg(F.max("given").alias("given"), F.max("common").alias("common"), F.max("full").alias("full")), "vocabulary")
+
+
+def _vocabulary(rows: Iterable) -> Vocabulary:
+    """Of rows (word, given, common, full)."""
+    rows = list(rows)
+    return Vocabulary([r["word"] for r in rows if r["given"]], [r["word"] for r in rows if r["common"]], {r["word"]: r["full"] for r in rows if r["full"]})
 
-def learn_short_forms(names: DataFrame, given: list[str], common: list[str], *, least: int = 2, share: float = 0.3, most: int = 20_000) -> dict[str, str]:
-    """{short form: full form} of given names, from rows of (name, description, aliases).
+
+def with_vocabulary(names: DataFrame, spelt: Column, vocabulary: DataFrame, most_held: int) -> tuple[DataFrame, Callable[[pd.DataFrame], Vocabulary]]:
+    """(names, what gives the vocabulary of a batch of them). ``spelt``: array of the names in a row.
+
+    A vocabulary above ``most_held`` words is joined: names have ``known`` then, all
+    words that one of theirs is, is one edit from, or begins or ends with.
+    """
+    if vocabulary.count() <= most_held:
+        held = [r.asDict() for r in vocabulary.collect()]
+        made: list[Vocabulary] = []
+        return names, lambda _: made[0] if made else made.append(_vocabulary(held)) or made[0]
+
+    def keys(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield pd.DataFrame([(h, k) for h, ns in zip(pdf["_h"], pdf["ns"]) for k in {k for n in ns if n for k in lookups(n)}], columns=["_h", "key"])
+
+    def words(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield pdf.loc[pdf.index.repeat([len(found_by(w)) for w in pdf["word"]])].assign(key=[k for w in pdf["word"] for k in found_by(w)])
+
+    h = F.sha2(F.to_json(F.struct(spelt.alias("ns"))), 256)
+    asked = names.select(h.alias("_h"), spelt.alias("ns")).distinct().mapInPandas(keys, "_h string, key string")
+    fields = "word string, given boolean, common boolean, full string"
+    known = asked.join(vocabulary.mapInPandas(words, f"{fields}, key string"), "key").groupBy("_h").agg(F.collect_set(F.struct("word", "given", "common", "full")).alias("known"))
+    joined = names.withColumn("_h", h).join(known, "_h", "left").drop("_h")
+    return joined, lambda pdf: _vocabulary({r["word"]: r for rs in pdf["known"] if rs is not None for r in rs}.values())
+
+
+def short_form_table(names: DataFrame, vocabulary: DataFrame, *, least: int = 2, share: float = 0.3, few: int = 6, most_held: int = MOST_HELD) -> DataFrame:
+    """(a, full): short and full forms of given names, from rows of (name, description, aliases).
 
     Two given names are seen together where names of one core have the same description,
     or one is an alias of the other. The rarer is a short form of the other if that
-    happens with ``least`` cores and with ``share`` of the cores it is seen with. All
-    rows count; at most ``most`` pairs (those seen most) reach the driver. Beginnings of
-    up to four letters need no learning.
+    happens with ``least`` cores and with ``share`` of the cores it is seen with. Where
+    more than ``few`` given names of a core have one description, each two of them count
+    for less: (few - 1) / (names - 1). All rows, groups and pairs count. Beginnings of up
+    to four letters need no learning.
     """
     spelt = names.where(F.trim("name") != "").select("name", F.coalesce("description", F.lit("")).alias("description"), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases")).distinct()
+    spelt, vocabulary_of = with_vocabulary(spelt, F.concat(F.array("name"), "aliases"), vocabulary, most_held)
 
     def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = Vocabulary(given, common)
         for pdf in it:
+            v = vocabulary_of(pdf)
             rows = []
             for name, description, aliases in zip(pdf["name"], pdf["description"], pdf["aliases"]):
                 core, g, *_ = read_name(name, v)
@@ -308,16 +376,30 @@ def learn_short_forms(names: DataFrame, given: list[str], common: list[str], *,
 
     seen = materialize(spelt.mapInPandas(read, "core string, about string, given string").distinct(), "seen")
     use = seen.groupBy("given").agg(F.countDistinct("core").alias("cores"))
-    # given names of one core under one description; where they are many it tells nothing
-    sets = seen.groupBy("core", "about").agg(F.array_sort(F.collect_set("given")).alias("g")).where(F.size("g").between(2, 6))
-    pairs = sets.select("core", F.explode("g").alias("a"), "g").select("core", "a", F.explode("g").alias("b")).where(F.col("a") != F.col("b"))
-    counted = pairs.groupBy("a", "b").agg(F.countDistinct("core").alias("n")).where(F.col("n") >= least)
-    full = counted.join(use.toDF("a", "use_a"), "a").join(use.toDF("b", "use_b"), "b").where((F.col("use_b") > F.col("use_a")) & (F.col("n") >= share * F.col("use_a")))
-    out: dict[str, str] = {}
-    for r in full.orderBy(F.desc("n"), F.desc("use_b"), "a", "b").limit(most).collect():
-        if not (len(r["a"]) <= 4 and r["b"].startswith(r["a"])):
-            out.setdefault(r["a"], r["b"])
-    return {a: out.get(b, b) for a, b in out.items() if out.get(b) != a}
+    size = seen.groupBy("core", "about").agg(F.count("*").alias("m")).where(F.col("m") > 1)
+    met = seen.join(size, ["core", "about"]).withColumn("weight", F.least(F.lit(1.0), (few - 1) / (F.col("m") - 1)))
+    # a pair that is met only where each meeting counts for less than ``share`` can't reach it: candidates come from smaller groups
+    small = met.where(F.col("weight") >= share)
+    pairs = small.select("core", "about", F.col("given").alias("a")).join(small.select("core", "about", F.col("given").alias("b"), "weight"), ["core", "about"]).where(F.col("a") != F.col("b")).select("core", "a", "b", "weight")
+    large = met.where(F.col("weight") < share)
+    more = large.select("core", "about", F.col("given").alias("a")).join(pairs.select("a", "b").distinct(), "a").join(large.select("core", "about", F.col("given").alias("b"), "weight"), ["core", "about", "b"]).select("core", "a", "b", "weight")
+    counted = pairs.unionByName(more).groupBy("a", "b", "core").agg(F.max("weight").alias("weight")).groupBy("a", "b").agg(F.sum("weight").alias("n")).where(F.col("n") >= least - 1e-9)
+    full = counted.join(use.toDF("a", "use_a"), "a").join(use.toDF("b", "use_b"), "b").where((F.col("use_b") > F.col("use_a")) & (F.col("n") >= share * F.col("use_a") - 1e-9))
+    full = full.where(~((F.length("a") <= 4) & F.expr("startswith(b, a)")))
+    best = materialize(full.groupBy("a").agg(F.min_by("b", F.struct(-F.col("n"), -F.col("use_b"), "b")).alias("b")), "short")
+    return best.join(best.toDF("b", "further"), "b", "left").select("a", F.coalesce("further", "b").alias("full"))
+
+
+def _as_table(spark: SparkSession, given: Iterable[str], common: Iterable[str], short: dict[str, str] | None = None) -> DataFrame:
+    rows = [*((g, True, False, None) for g in given), *((c, False, True, None) for c in common)]
+    rows += [(w, True, False, full) for a, b in (short or {}).items() for w, full in ((a, b), (b, None))]
+    t = spark.createDataFrame(rows, "word string, given boolean, common boolean, full string")
+    return vocabulary_table(t.where("given").select(F.col("word").alias("g")), t.where("common").select("word"), t.where("full is not null").select(F.col("word").alias("a"), "full"))
+
+
+def learn_short_forms(names: DataFrame, given: list[str], common: list[str], **limits) -> dict[str, str]:
+    """``short_form_table`` as {short form: full form}, for vocabularies known to be small."""
+    return {r["a"]: r["full"] for r in short_form_table(names, _as_table(names.sparkSession, given, common), **limits).collect()}
 
 
 def core_links(cores: DataFrame, *, radius: int = 1, pivots_a_root: float = 0.15, most_pivots: int = 512) -> DataFrame:
@@ -372,12 +454,17 @@ def alias_numbers(forms: list[tuple], number: dict[tuple, int], aliases: list[tu
 
 
 def link_names(names: DataFrame, given: list[str], common: list[str], short: dict[str, str] | None = None) -> DataFrame:
-    """(id, entity) of every usable row of ``names`` (id, name, description and, where known, aliases)."""
+    """``link_entities`` with a vocabulary given as lists."""
+    return link_entities(names, _as_table(names.sparkSession, given, common, short))
+
+
+def link_entities(names: DataFrame, vocabulary: DataFrame, *, most_held: int = MOST_HELD) -> DataFrame:
+    """(id, entity) of every usable row of ``names`` (id, name, description and, where known, aliases); ``vocabulary`` as of ``vocabulary_table``."""
     columns = ["id", "core", "given", "line", "number", "description", "spelling", "alias"]
 
     def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = Vocabulary(given, common, short)
         for pdf in it:
+            v = vocabulary_of(pdf)
             rows = [(i, *read_name(s, v), d, " ".join(words_of(s)), a) for i, s, d, a in zip(pdf["id"], pdf["name"], pdf["description"], pdf["alias"])]
             yield pd.DataFrame(rows, columns=columns)
 
@@ -386,6 +473,7 @@ def link_names(names: DataFrame, given: list[str], common: list[str], short: dic
     if "aliases" in names.columns:
         held = names.where(F.trim("name") != "").select("id", F.explode("aliases").alias("name"), description, F.lit(True).alias("alias"))
         usable = usable.unionByName(held.where(F.trim("name") != "").dropDuplicates(["id", "name"]))
+    usable, vocabulary_of = with_vocabulary(usable, F.array("name"), vocabulary, most_held)
     parsed = materialize(usable.mapInPandas(read, "id string, core string, given string, line string, number string, description string, spelling string, alias boolean").where(F.col("core") != ""), "names")
     links = core_links(parsed.select("core").distinct())
     typed = parsed.where(~F.col("alias")).select("core").distinct()

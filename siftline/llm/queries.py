@@ -9,9 +9,9 @@ from siftline.llm.clustering import cluster_vectors, describe_clusters, number_c
 from siftline.llm.components import pairs_of_groups
 from siftline.llm.knn import k_nearest
 from siftline.llm.mixture import mix_sources, mixture_report
-from siftline.llm.names import learn_common, learn_short_forms, link_names, name_pairs
+from siftline.llm.names import common_table, link_entities, name_pairs, short_form_table, vocabulary_table
 from siftline.llm.near_duplicates import duplicate_fields, near_duplicate_links, near_duplicate_pairs
-from siftline.llm.pii import given_names, given_table, mask_pii, pii_findings
+from siftline.llm.pii import given_table, mask_pii, pii_findings
 from siftline.llm.splitting import split_oversized, word_count
 from siftline.llm.subjects import document_subjects
 from siftline.llm.tokenize import encode_corpus
@@ -65,9 +65,10 @@ def p4_entities(spark: SparkSession, d: str) -> DataFrame:
     mentions = table(spark, d, "extracted_entity").select("name", "type", "description", "aliases")
     read = vertices.drop("id").unionByName(mentions).select(F.trim("name").alias("name"), F.upper(F.trim("type")).alias("type"), "description", "aliases")
     known = read.select("name", "type").distinct()
-    common = learn_common(known.where(F.col("type").isin("ORGANIZATION", "LOCATION", "PRODUCT")).select("name", F.lit(False).alias("person")), least=5)
-    given = given_names(known.where(F.col("type") == "PERSON"))
-    return link_names(vertices.where(F.col("id").isNotNull()), given, common, learn_short_forms(read, given, common))
+    common = materialize(common_table(known.where(F.col("type").isin("ORGANIZATION", "LOCATION", "PRODUCT")).select("name", F.lit(False).alias("person")), least=5), "common")
+    given = materialize(given_table(known.where(F.col("type") == "PERSON")), "given")
+    short = short_form_table(read, vocabulary_table(given, common))
+    return link_entities(vertices.where(F.col("id").isNotNull()), vocabulary_table(given, common, short))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -304,6 +304,28 @@ def test_short_forms_are_learned(spark):
     assert e["a"] == e["b"] != e["c"]
 
 
+def test_words_beyond_those_that_are_held_are_joined(spark):
+    given, common = ["Clara", "Omar", "Robert", "Bob"], ["port", "logistics", "food", "company"]
+    names = ["Clara Vomilintor", "Vomilintor, C.", "ClaraVomilintor", "claravomilintor", "Clraa Vomilintor", "Gahanrubi Port Logistics LLC", "GAHANRUBI PL", "Gahanrubi Food Company", "Omar Vomilintor", "Bob Teltadru", "Robert Teltadru", "Lannortugo K-100", "Port"]
+    df = spark.createDataFrame([(str(i), n, "", ["Bob Vomilintor"] if not i else None) for i, n in enumerate(names)], "id string, name string, description string, aliases array<string>")
+    table = N._as_table(spark, given, common, {"bob": "robert"})
+    held, joined = (dict(rows(N.link_entities(df, table, most_held=n), "id", "entity")) for n in (100, 1))
+    assert held == joined and len(held) == len(names) and held["9"] == held["10"] and held["0"] == held["3"] == held["4"]
+    v = N.Vocabulary(given, common, {"bob": "robert"})
+    near = lambda n: N.Vocabulary([w for w in v.given if N.found_by(w) & N.lookups(n)], [w for w in v.common if N.found_by(w) & N.lookups(n)], {a: b for a, b in v.short.items() if N.found_by(a) & N.lookups(n)})
+    assert all(N.read_name(n, v) == N.read_name(n, near(n)) for n in names)
+
+
+def test_crowds_of_given_names_count_too(spark):
+    crowd = [f"{a}{b}lena" for a in "bcdfgh" for b in "aeiou"]
+    given = [*crowd, "william", "wim"]
+    # two small groups and twelve crowds of eight: the meetings in crowds count for five sevenths each
+    data = [(f"{g} kern{i}zz", "small", None) for i in "ab" for g in ("william", "wim")] + [(f"{g} kern{i}zz", "crowd", None) for i in "cdefghijklmn" for g in ["william", "wim", *(crowd[(ord(i) + j) % 30] for j in range(6))]]
+    data += [(f"william kern{i}zz", "x", None) for i in "opq"]
+    got = N.learn_short_forms(spark.createDataFrame(data, "name string, description string, aliases array<string>"), given, [])
+    assert got["wim"] == "william"
+
+
 def test_a_name_written_very_often(spark):
     names = [(f"h{i:04d}", "Clara Vomilintor", "") for i in range(3000)] + [(f"b{i}", "Vomilintor", "") for i in range(3)] + [("o", "Omar Vomilintor", "")]
     e = dict(rows(N.link_names(spark.createDataFrame(names, "id string, name string, description string"), ["Clara", "Omar"], []), "id", "entity"))
